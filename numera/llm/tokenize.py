@@ -1,8 +1,9 @@
 """Token ids of a public tokenizer file, fast enough for whole corpora.
 
-A byte-level BPE never joins characters across the start of a run of white space, so a text is cut there, and the ids
-of each unit are kept in a bounded cache as little-endian unsigned 32-bit bytes. Frequent units cost one dictionary
-look-up. Texts with unusual white space or control strings go to the tokenizers library whole.
+A byte-level BPE never joins characters across the units that its pattern cuts a text into, so the ids of each unit are
+kept in a bounded cache as little-endian unsigned 32-bit bytes. Frequent units cost one dictionary
+look-up. Texts with unusual characters or control strings go to the tokenizers library whole. Machines are taken to be
+little-endian, as all that Spark runs on at scale are.
 """
 
 from __future__ import annotations
@@ -10,18 +11,16 @@ from __future__ import annotations
 import functools
 import json
 import re
-
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: White space (in any library's view) other than blank, tab and line ends, and joiners: such texts are not cut.
-ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-#: Units of characters up to here are encoded by tiktoken, which agrees with tokenizers on them (tested one by one).
-PLAIN = "\u024f"
+from array import array
+
+#: Letters and numbers up to U+024F, and the units of the vocabulary's own pattern within that range.
+LETTERS, NUMBERS, BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r"
+UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+#: Other white space, and characters on which the libraries might not agree (those up to U+024F are tested one by one):
+#: a text with any of them is encoded whole by the file's own library.
+ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
 #: Longer units, and more units than this, are not kept.
-UNIT_CHARS, UNITS = 32, 300_000
-
-
-class _Whole(Exception):
-    """The text has to be encoded as a whole."""
+UNIT_CHARS, UNITS = 32, 600_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -53,16 +52,11 @@ def _merger(spec: dict):
 class _Units(dict):
     """Unit -> bytes of its ids."""
 
-    def __init__(self, encode, merger, special):
-        self.encode, self.merger, self.special = encode, merger, special
+    def __init__(self, merger):
+        self.encode = merger.encode_ordinary
 
     def __missing__(self, unit: str) -> bytes:
-        import numpy as np
-
-        if ODD.search(unit) or any(s in unit for s in self.special):
-            raise _Whole
-        ids = self.merger.encode_ordinary(unit) if max(unit) <= PLAIN else self.encode(unit)
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = array("I", self.encode(unit)).tobytes()
         if len(unit) <= UNIT_CHARS and len(self) < UNITS:
             self[unit] = out
         return out
@@ -72,9 +66,6 @@ class Encoder:
     """ids(text): the text's ids as little-endian unsigned 32-bit bytes, without added tokens."""
 
     def __init__(self, path: str):
-        import numpy as np
-
-        self._np = np
         self.units = None
         if path.endswith(".model"):
             import sentencepiece
@@ -93,15 +84,13 @@ class Encoder:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             if merger := _merger(spec):
-                self.units = _Units(self._encode, merger, [t["content"] for t in spec.get("added_tokens", [])])
+                self.units = _Units(merger)
+                self.special = [t["content"] for t in spec.get("added_tokens", [])]
 
     def ids(self, text: str) -> bytes:
-        if self.units is not None:
-            try:
-                return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
-            except _Whole:
-                pass
-        return self._np.array(self._encode(text), dtype="<u4").tobytes()
+        if self.units is not None and not ODD.search(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
+        return array("I", self._encode(text)).tobytes()
 
 
 @functools.lru_cache(maxsize=4)
