@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op7_host_quality": quality_rules.op7_host_quality,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_host_quality": quality_rules.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
