@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, token_counts, url_filter
+from . import decontamination, packing, quality_rules, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op5_simhash": simhash.op5_simhash,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_host_quality": quality_rules.op7_host_quality,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_token_counts": token_counts.op10_token_counts,
     }
