@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, simhash, token_counts, toxicity, url_filter
+from . import chat, decontamination, licenses, packing, quality_rules, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_license_scan": licenses.op3_license_scan,
+        "op4_chat_tree": chat.op4_chat_tree,
         "op5_simhash": simhash.op5_simhash,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_host_quality": quality_rules.op7_host_quality,
