@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, packing, quality_rules, simhash, token_counts, toxicity, url_filter
+from . import chat, decontamination, licenses, packing, quality_rules, scoring, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scores": scoring.op1_lm_scores,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_chat_tree": chat.op4_chat_tree,
