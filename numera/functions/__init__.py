@@ -1 +1 @@
-
+"""Column functions, and aggregates as columns."""

@@ -1 +1 @@
-
+"""Registered queries and the SQL that they are held against."""
