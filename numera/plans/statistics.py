@@ -219,7 +219,7 @@ def signal_upsample(spark, d):
     return signal.upsample(series(spark, d), 2)
 
 
-@query("g lag", "v", f"WITH s AS ({SERIES_SQL}) SELECT a.g, (b.idx - a.idx)::INT AS lag, sum(a.v * b.v) AS v FROM s a JOIN s b ON a.g = b.g AND b.idx - a.idx BETWEEN -2 AND 2 GROUP BY 1, 2", 3)
+@query("g lag", "v", f"WITH s AS ({SERIES_SQL}) SELECT a.g, (b.idx - a.idx)::INT AS lag, sum(a.v * b.v) AS v FROM s a JOIN s b ON a.g = b.g AND b.idx - a.idx BETWEEN -2 AND 2 GROUP BY 1, 2", 5)
 def signal_autocorr(spark, d):
     s = series(spark, d)
     return signal.xcorr(s, s, 2)

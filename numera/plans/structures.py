@@ -88,9 +88,9 @@ def graph_bfs(spark, d):
     return graph.bfs(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 1, 4)
 
 
-@query("id", "rank", f"""WITH RECURSIVE e AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS f FROM (SELECT src, dst FROM ({TRADE_SQL}) UNION SELECT dst, src FROM ({TRADE_SQL}))), n AS (SELECT DISTINCT src AS id FROM e), c AS (SELECT count(*) AS c FROM n),
- r0 AS (SELECT id, 1.0::DOUBLE / c AS rank FROM n, c), r1 AS (SELECT id, 0.15 / c + 0.85 * coalesce((SELECT sum(rank * f) FROM e JOIN r0 ON r0.id = e.src WHERE e.dst = n.id), 0) AS rank FROM n, c),
- r2 AS (SELECT id, 0.15 / c + 0.85 * coalesce((SELECT sum(rank * f) FROM e JOIN r1 ON r1.id = e.src WHERE e.dst = n.id), 0) AS rank FROM n, c) SELECT id, rank FROM r2""", 12)
+@query("id", "rank", f"""WITH RECURSIVE e AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS f FROM (SELECT src, dst FROM ({TRADE_SQL}) UNION SELECT dst, src FROM ({TRADE_SQL}))), n AS (SELECT DISTINCT src AS id FROM e), c AS (SELECT count(*) AS c FROM n),
+ r0 AS (SELECT id, 1.0::DOUBLE / c AS rank FROM n, c), r1 AS (SELECT id, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce((SELECT sum(rank * f) FROM e JOIN r0 ON r0.id = e.src WHERE e.dst = n.id), 0) AS rank FROM n, c),
+ r2 AS (SELECT id, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce((SELECT sum(rank * f) FROM e JOIN r1 ON r1.id = e.src WHERE e.dst = n.id), 0) AS rank FROM n, c) SELECT id, rank FROM r2""", 12)
 def graph_pagerank(spark, d):
     e = trade(spark, d)
     return graph.pagerank(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds=2)
