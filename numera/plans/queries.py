@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more, statistics, structures  # noqa: F401  they register their queries
+from . import more, statistics, structures, yet_more  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
