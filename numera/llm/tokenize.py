@@ -87,6 +87,12 @@ class Encoder:
                 self.units = _Units(merger)
                 self.special = [t["content"] for t in spec.get("added_tokens", [])]
 
+    def word(self, word: str) -> bytes:
+        """ids(" " + word) of a word that is not expected again: the cache of units is left alone."""
+        if self.units is not None and not ODD.search(word) and "<|" not in word:
+            return array("I", self.units.encode(" " + word)).tobytes()
+        return array("I", self._encode(" " + word)).tobytes()
+
     def ids(self, text: str) -> bytes:
         if self.units is not None and not ODD.search(text) and not any(s in text for s in self.special):
             return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
