@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokenize import release
 
 #: However two substitutions fall among 12 words, one of these masks fits between them.
 MASKS = ("111111", "11101011", "101100111")
@@ -31,7 +32,7 @@ class _Hashes(dict):
         from xxhash import xxh3_64_intdigest
 
         h = xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -142,6 +143,7 @@ def _search(block, id_type):
     def batches(it):
         import pyarrow as pa
 
+        release()
         bench = Benchmark(block.value)
         for b in it:
             row, found = [], []
@@ -160,6 +162,7 @@ def _drop(block):
     def batches(it):
         import pyarrow as pa
 
+        release()
         bench = Benchmark(block.value)
         for b in it:
             yield b.filter(pa.array([not (t and bench.overlaps(t)) for t in b.column("_text").to_pylist()], pa.bool_()))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import components
+from .tokenize import release
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 #: Fingerprints from which costs are estimated. They decide how fast a join is, never what it finds.
@@ -50,6 +51,7 @@ def _fingerprints(shingle: int):
     def batches(it):
         import pyarrow as pa
 
+        release()
         for b in it:
             made = pa.array([_fingerprint(t, shingle) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], [*b.schema.names[:-1], "fp"])

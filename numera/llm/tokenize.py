@@ -20,7 +20,7 @@ UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{B
 #: a text with any of them is encoded whole by the file's own library.
 ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
 #: Longer units, and more units than this, are not kept.
-UNIT_CHARS, UNITS = 32, 600_000
+UNIT_CHARS, UNITS = 32, 250_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -99,7 +99,12 @@ class Encoder:
         return array("I", self._encode(text)).tobytes()
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
+    """One encoder a worker process and file. Workers live on after a task: those that go on to other work call release()."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Lets go of the encoders of this process."""
+    encoder.cache_clear()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, table
+from .tokenize import release
 
 #: Words that insult, by voter.
 LEXICONS = (
@@ -32,6 +33,8 @@ VOTERS = len(LEXICONS) + LEARNT_VOTERS + PATTERNS
 ENTRIES = 2000
 #: Labelled rows that the linear classifier is fitted on, at most; those with the smallest hashes.
 FIT_ROWS = 40_000
+#: Distinct entries that a task holds before it hands their counts on.
+ENTRIES_HELD = 500_000
 #: Rows whose checksum leaves 0 by this are held out: their labels are never looked at.
 HELD_OUT = 5
 #: Labels up to this number are broadcast.
@@ -91,19 +94,27 @@ class Model:
 
 
 def _explode(it):
-    """Label and entry counts of each batch: pre-aggregated before they are shuffled."""
+    """Entry counts of each task, or of each half million distinct entries: pre-aggregated before they are shuffled."""
     import pyarrow as pa
     from collections import Counter
 
+    release()
+    every, toxic = Counter(), Counter()
+
+    def batch():
+        made = pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[e] for e in every], pa.int64())], ["entry", "n", "toxic"])
+        every.clear(), toxic.clear()
+        return made
+
     for b in it:
-        labels, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        every, toxic = Counter(), Counter()
-        for y, t in zip(labels, texts):
+        for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found = _entries(t or "")
             every.update(found)
             if y:
                 toxic.update(found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[e] for e in every], pa.int64())], ["entry", "n", "toxic"])
+            if len(every) > ENTRIES_HELD:
+                yield batch()
+    yield batch()
 
 
 def learn_entries(labelled: DataFrame) -> list[str]:
@@ -120,7 +131,7 @@ def learn_entries(labelled: DataFrame) -> list[str]:
     surprise = 2 * (part(F.col("toxic"), p, base) + part(F.col("n") - F.col("toxic"), 1 - p, 1 - base))
     from math import log
 
-    clear = counts.where(p > 3 * base).withColumn("g", F.round(surprise, 6)).where(F.col("g") >= 2 * log(tried + 1) + 2)
+    clear = counts.where(p > 3 * base).withColumn("g", F.round(surprise, 6)).where(F.col("g") >= 2 * log(tried + 1))
     return [r["entry"] for r in clear.orderBy(F.desc("g"), "entry").limit(ENTRIES).collect()]
 
 
