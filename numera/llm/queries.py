@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_host_quality": quality_rules.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op4_chat_tree": chat.OP4_SQL, "op7_host_quality": quality_rules.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
