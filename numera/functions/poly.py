@@ -27,3 +27,9 @@ def multiply(a: Column, b: Column) -> Column:
     n = F.size(a) + F.size(b) - 1
     at = lambda i: F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(0.0), lambda s, k: s + F.coalesce(F.get(a, k) * F.get(b, i - k), F.lit(0.0)))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), at)).otherwise(F.array().cast("array<double>"))
+
+
+def bezier(points: Column, t: Column) -> Column:
+    """A coordinate of a Bezier curve, from its control values, by repeated interpolation."""
+    line = lambda a, _: F.when(F.size(a) > 1, F.transform(F.slice(a, 1, F.size(a) - 1), lambda x, i: x * (1 - t) + F.get(a, i + 1) * t)).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(points) - 1)), points, line)[0]

@@ -64,3 +64,67 @@ def black_scholes(s: Column, k: Column, t: Column, r: Column, sigma: Column, cal
     d2 = d1 - sigma * F.sqrt(t)
     c = s * norm_cdf(d1) - k * F.exp(-r * t) * norm_cdf(d2)
     return c if call else c - s + k * F.exp(-r * t)
+
+
+def norm_pdf(x: Column) -> Column:
+    return F.exp(-x * x / 2) / 2.5066282746310002
+
+
+def black_scholes_greeks(s: Column, k: Column, t: Column, r: Column, sigma: Column) -> dict[str, Column]:
+    """Of a call: delta, gamma, vega, theta (a year), rho."""
+    root = F.sqrt(t)
+    d1 = (F.ln(s / k) + (r + sigma * sigma / 2) * t) / (sigma * root)
+    d2 = d1 - sigma * root
+    paid = k * F.exp(-r * t)
+    return {"delta": norm_cdf(d1), "gamma": norm_pdf(d1) / (s * sigma * root), "vega": s * norm_pdf(d1) * root, "theta": -s * norm_pdf(d1) * sigma / (2 * root) - r * paid * norm_cdf(d2), "rho": paid * t * norm_cdf(d2)}
+
+
+def black76(f: Column, k: Column, t: Column, r: Column, sigma: Column) -> Column:
+    """A call on a forward."""
+    d1 = (F.ln(f / k) + sigma * sigma / 2 * t) / (sigma * F.sqrt(t))
+    return F.exp(-r * t) * (f * norm_cdf(d1) - k * norm_cdf(d1 - sigma * F.sqrt(t)))
+
+
+def bachelier_call(f: Column, k: Column, t: Column, sigma: Column) -> Column:
+    sd = sigma * F.sqrt(t)
+    return (f - k) * norm_cdf((f - k) / sd) + sd * norm_pdf((f - k) / sd)
+
+
+def digital_option(s: Column, k: Column, t: Column, r: Column, sigma: Column) -> Column:
+    """Pays 1 if the price ends above k."""
+    return F.exp(-r * t) * norm_cdf((F.ln(s / k) + (r - sigma * sigma / 2) * t) / (sigma * F.sqrt(t)))
+
+
+def bond_duration(coupon: Column, rate: Column, periods: Column) -> Column:
+    """Macaulay duration in periods, of a bond of face 1."""
+    ts = F.sequence(F.lit(1), periods.cast("int"))
+    weighted = F.aggregate(ts, F.lit(0.0), lambda a, t: a + t * coupon / F.pow(1 + rate, t)) + periods / F.pow(1 + rate, periods)
+    return weighted / bond_price(F.lit(1.0), coupon, rate, periods)
+
+
+def forward_rate(r1: Column, t1: Column, r2: Column, t2: Column) -> Column:
+    """Continuously compounded, between the two times."""
+    return (r2 * t2 - r1 * t1) / (t2 - t1)
+
+
+def vasicek_bond_price(r: Column, a: float, b: float, sigma: float, t: Column) -> Column:
+    bt = (1 - F.exp(-a * t)) / a
+    at = F.exp((b - sigma * sigma / (2 * a * a)) * (bt - t) - sigma * sigma * bt * bt / (4 * a))
+    return at * F.exp(-bt * r)
+
+
+def kelly_fraction(p: Column, odds: Column) -> Column:
+    return p - (1 - p) / odds
+
+
+def historical_cvar(r: DataFrame, x: str, by: list[str], level: float) -> DataFrame:
+    """Minus the mean of the int((1-level) n) smallest values, of one at least."""
+    n = F.greatest(F.lit(1), F.floor(F.round(F.lit(1 - level) * F.col("_n"), 9)))
+    kept = F.greatest(F.lit(0), F.least(F.col("_hi"), n) - (F.col("_hi") - F.col("_c")))
+    return _ranked(r, x, by).withColumn("_k", kept).groupBy(*by).agg((-F.sum(F.col("_k") * F.col(x)) / F.sum("_k")).alias("cvar"))
+
+
+def portfolio_variance(weights: DataFrame, covariance: DataFrame) -> DataFrame:
+    """weights: i, w; covariance: i, j, v."""
+    one = covariance.join(weights, "i").select("j", (F.col("v") * F.col("w")).alias("x"))
+    return one.join(weights.withColumnRenamed("i", "j"), "j").agg(F.sum(F.col("x") * F.col("w")).alias("variance"))

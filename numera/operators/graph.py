@@ -88,3 +88,37 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         if kept.count() == e.count():
             return kept
         e = kept
+
+
+def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 100) -> DataFrame:
+    """id, dist: weighted distances from source (weights not negative), relaxed from what has improved."""
+    spark = edges.sparkSession
+    best = spark.createDataFrame([(source, 0.0)], "id long, dist double")
+    front = best
+    for _ in range(max_rounds):
+        seen = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
+        front = _checkpointed(seen.join(best, "id", "left").where(F.col("dist").isNull() | (F.col("d") < F.col("dist"))).select("id", F.col("d").alias("dist")))
+        if front.isEmpty():
+            break
+        best = _checkpointed(best.join(front, "id", "left_anti").unionByName(front))
+    return best
+
+
+def laplacian(edges: DataFrame) -> DataFrame:
+    """i, j, v of the unweighted graph laplacian, in coordinates."""
+    e = undirected(edges)
+    return e.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1.0).alias("v")).unionByName(e.groupBy(F.col("src").alias("i")).agg(F.count("*").cast("double").alias("v")).select("i", F.col("i").alias("j"), "v"))
+
+
+def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups: id, g. Of the unweighted graph: sum over groups of inner share minus squared degree share."""
+    e = undirected(edges).join(groups.select(F.col("id").alias("src"), F.col("g").alias("a")), "src").join(groups.select(F.col("id").alias("dst"), F.col("g").alias("b")), "dst")
+    per = e.groupBy("a").agg(F.count("*").alias("d"), F.count_if(F.col("a") == F.col("b")).alias("inner"))
+    m = F.sum("d").cast("double")
+    return per.agg((F.sum("inner") / m - F.sum(F.col("d").cast("double") * F.col("d")) / (m * m)).alias("modularity"))
+
+
+def degree_centrality(edges: DataFrame) -> DataFrame:
+    e = undirected(edges)
+    n = e.select("src").distinct().count()
+    return e.groupBy(F.col("src").alias("id")).agg((F.count("*") / max(n - 1, 1)).alias("centrality"))
