@@ -32,7 +32,7 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges customer -> supplier (suppliers have negative ids), weighted by the number of order lines."""
     orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     joined = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
-    return joined.groupBy(F.col("o_custkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).agg(F.count("*").cast("double").alias("w"))
+    return joined.groupBy(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).agg(F.count("*").cast("double").alias("w"))
 
 
-TRADE_SQL = "SELECT o_custkey AS src, -l_suppkey AS dst, count(*)::DOUBLE AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"
+TRADE_SQL = "SELECT o_custkey AS src, -1 - l_suppkey AS dst, count(*)::DOUBLE AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"
