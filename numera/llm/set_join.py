@@ -1,0 +1,161 @@
+"""Near-duplicates by the exact similarity of shingle sets: pairs with a Jaccard similarity of 4/5 at least, none missed.
+
+Sets are cut by one order of all shingles, those that are frequent in a sample last. Two sets that are similar enough
+share one of the first n - ceil(4n/5) + 1 shingles of each, so these are the keys on which documents meet, and sizes
+and places of the shared key rule out most of the rest. What is left is verified on whole sets. Under each key all
+documents are first compared to one of them; only those that this does not link are compared to the others, so that a
+group of near copies costs about one comparison a document and key, not one a pair.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+from .tokenize import release
+
+SHINGLE = 5
+#: Documents in the sample that tells frequent shingles, and how many of those are kept. They decide speed only.
+SAMPLE, FREQUENT = 4096, 200_000
+#: Documents to verify up to this number are broadcast by their row numbers, so that texts are not shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Documents under a key are compared to one of so many, chosen by the key.
+PIVOTS = 3
+
+
+def shingles(text: bytes, shingle: int = SHINGLE):
+    """The distinct 64-bit hashes of a text's word shingles, sorted; a shorter text is one shingle, a blank one has none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    found = text.lower().split()  # of bytes: A-Z, and white space of ASCII
+    if not found:
+        return np.zeros(0, np.int64)
+    joined, k = b" ".join(found), min(shingle, len(found))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    first = [0, *(ends[: len(found) - k] + 1).tolist()]
+    h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, ends[k - 1 :].tolist())), np.uint64, len(first))
+    return np.unique(h.view(np.int64))
+
+
+def prefix(hashes, frequent, rank):
+    """The first n - ceil(4n/5) + 1 shingles in the common order. frequent: sorted hashes; rank: of each, from 1 up."""
+    import numpy as np
+
+    n = len(hashes)
+    at = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
+    late = np.where(frequent[at] == hashes, rank[at], 0) if len(frequent) else np.zeros(n, np.int64)
+    return hashes[np.lexsort((hashes, late))[: n + (-4 * n) // 5 + 1]]
+
+
+def _lists(parts):
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.concatenate([*parts, np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _sets(it):
+    import pyarrow as pa
+
+    release()
+    for b in it:
+        yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t) for t in b.column(1).to_pylist()])], ["node", "hashes"])
+
+
+def _signatures(shared):
+    """A name of the set in 128 bits, its size and its prefix, beside the carried columns."""
+
+    def batches(it):
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        release()
+        frequent, rank = shared.value
+        for b in it:
+            found = [shingles(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            made = [pa.array([xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array(list(map(len, found)), pa.int32()), _lists([prefix(h, frequent, rank) for h in found])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "name", "size", "keys"])
+
+    return batches
+
+
+def _frequent(texts: DataFrame):
+    """Sorted hashes of shingles that several documents of a sample share, and their ranks, the most frequent last."""
+    import numpy as np
+
+    step = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("_row"), F.lit(step)) == 0).select("_row", "_text")
+    counts = sample.mapInArrow(_sets, "node long, hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    h = got.column(0).to_numpy()
+    order = np.argsort(h)
+    return h[order], (len(h) - np.arange(len(h)))[order]
+
+
+def _possible(a: str, b: str):
+    """Whether two sets can be similar enough, by their sizes and the places of a shingle that both have."""
+    nx, ny, i, j = f"{a}size", f"{b}size", f"{a}pos", f"{b}pos"
+    return F.expr(f"9 * (least({i}, {j}) + 1 + least({nx} - {i}, {ny} - {j}) - 1) >= 4 * ({nx} + {ny})")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs u, v whose sets have a similarity of 4/5 at least."""
+    wanted = pairs.select(F.col("u").alias("_row")).unionByName(pairs.select(F.col("v").alias("_row"))).distinct()
+    wanted = materialize(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = materialize(texts.join(wanted, "_row", "left_semi").select("_row", "_text").mapInArrow(_sets, "node long, hashes array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+    return materialize(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("u", "v"), "verified")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v long: pairs of similar nodes, enough of them to connect all that similar pairs connect.
+
+    nodes: node long, size int, keys array<long> (see prefix), of distinct sets. texts: _row (the node), _text binary.
+    """
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    w = W.partitionBy("key")
+    chosen = F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS))).alias("h"), "node", "size", "pos")).over(w)
+    met = keyed.withColumns({"n": F.count("*").over(w), "p": chosen}).where("n > 1")
+    met = materialize(met.select("key", "node", "size", "pos", "n", F.col("p.node").alias("p_node"), F.col("p.size").alias("p_size"), F.col("p.pos").alias("p_pos")), "met")
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    first = materialize(met.where("node <> p_node").where(_possible("", "p_")).select(*pair("node", "p_node")).distinct(), "pairs")
+    links = _verified(first, texts)
+
+    # what the first comparisons leave apart; keys of two documents are done
+    roots = components(links)
+    of = lambda name, out: roots.select(F.col("node").alias(name), F.col("root").alias(out))
+    rest = met.where("n > 2").join(of("node", "root"), "node", "left").join(of("p_node", "main"), "p_node", "left")
+    rest = rest.withColumns({"root": F.coalesce("root", "node"), "main": F.coalesce("main", "p_node")}).where("node <> p_node")
+    rest = materialize(rest.select("key", "node", "size", "pos", "root", "main"), "rest")
+    apart = rest.where("root <> main").select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "size", "pos", "root")))
+    more = apart.join(rest, "key").where("a_root <> root AND (root = main OR a_node < node)").where(_possible("a_", "")).select(*pair("a_node", "node")).distinct()
+    more = materialize(more.join(first, ["u", "v"], "left_anti"), "pairs")
+    return links if more.isEmpty() else links.unionByName(_verified(more, texts))
+
+
+def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id, and one of its repeats.
+
+    Documents link whose sets of 5-word shingles (words lower-cased in A-Z, divided by ASCII white space) have a Jaccard
+    similarity of 0.8 at least; groups are what links connect. A text of fewer words is one shingle; null and blank texts
+    are alike. Null ids come after all others. An empty table gives an empty result.
+    """
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "rows")  # so that row numbers stay
+    texts = rows.select("_id", "_row", F.coalesce("_text", F.lit("")).cast("binary").alias("_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
+    named = texts.mapInArrow(_signatures(sent), f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, name binary, size int, keys array<long>")
+    # equal sets are one node, so a text that fills a third of the rows costs one row a task
+    best = named.groupBy("name").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row", "size", "keys")).alias("first"))
+    nodes = materialize(best.select(F.col("first._row").alias("node"), F.struct("first._none", "first._id", "first._row").alias("first"), "first.size", "first.keys"), "nodes")
+    roots = components(similar_links(nodes.select("node", "size", "keys"), texts))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")

@@ -1,0 +1,60 @@
+"""The pipeline's near-duplicates against brute force."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from numera.llm import set_join
+
+
+def _set(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def _alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("sample", [4096, 8])
+def test_all_similar_pairs_connect(spark, monkeypatch, sample):
+    monkeypatch.setattr(set_join, "SAMPLE", sample)
+    rng = random.Random(6)
+    make = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(n)]
+    line, rows = make(12), []
+    for g in range(12):
+        base = make(rng.choice([6, 20, 60, 200])) + line * (g % 2)
+        for _ in range(12):
+            t = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 25)):
+                t[rng.randrange(len(t))] = "changed" + str(rng.randrange(99))
+            rows.append((len(rows), " ".join(t)))
+    chain = make(300)  # neighbours are similar, ends are not
+    for i in range(12):
+        rows.append((len(rows), " ".join(chain[6 * i : 6 * i + 120])))
+    rows += [(900, None), (901, " "), (902, "Two words"), (903, "two  WORDS"), (None, "only here"), (None, None), (7, rows[7][1])]
+    sets = [_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if _alike(sets[i], sets[j]):
+                root[find(i)] = find(j)
+                far += sets[i] != sets[j]
+    assert far > 100
+    groups: dict = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append((d is None, d or 0))
+    want = sorted(str(None if n else d) for n, d in (min(g) for g in groups.values()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = df.withColumns({n: F.lit("x") for n in ("node", "size", "keys", "name", "_row", "_id", "_text", "root", "first")})
+    got = set_join.first_of_each_group(df)
+    assert got.columns == df.columns and sorted(str(r["doc_id"]) for r in got.collect()) == want
+    assert set_join.first_of_each_group(df.limit(0)).count() == 0
