@@ -29,8 +29,8 @@ LEXICONS = (
 #: Learnt entries are dealt to so many voters, and patterns make up the rest of the 16: at most 2^16 vote patterns.
 LEARNT_VOTERS, PATTERNS = 7, 3
 VOTERS = len(LEXICONS) + LEARNT_VOTERS + PATTERNS
-#: Learnt entries at most: the ones most clearly tied to the label.
-ENTRIES = 2000
+#: How many times greater the odds of toxic are among texts with a learnt entry than among all.
+ODDS = 3
 #: Labelled rows that the linear classifier is fitted on, at most; those with the smallest hashes.
 FIT_ROWS = 40_000
 #: Distinct entries that a task holds before it hands their counts on.
@@ -118,7 +118,8 @@ def _explode(it):
 
 
 def learn_entries(labelled: DataFrame) -> list[str]:
-    """Entries tied to the label beyond chance, allowing for how many were tried. labelled: toxic 0/1, text."""
+    """All entries tied to the label beyond chance, allowing for how many were tried, whatever share of the rows is toxic.
+    labelled: toxic 0/1, text."""
     totals = labelled.agg(F.count("*"), F.sum("toxic")).first()
     n, t = totals[0], totals[1] or 0
     if not t or t == n:
@@ -131,8 +132,8 @@ def learn_entries(labelled: DataFrame) -> list[str]:
     surprise = 2 * (part(F.col("toxic"), p, base) + part(F.col("n") - F.col("toxic"), 1 - p, 1 - base))
     from math import log
 
-    clear = counts.where(p > 3 * base).withColumn("g", F.round(surprise, 6)).where(F.col("g") >= 2 * log(tried + 1))
-    return [r["entry"] for r in clear.orderBy(F.desc("g"), "entry").limit(ENTRIES).collect()]
+    clear = counts.where(p * (1 - base) > ODDS * (1 - p) * base).withColumn("g", F.round(surprise, 6)).where(F.col("g") >= 2 * log(tried + 1))
+    return [r["entry"] for r in clear.orderBy(F.desc("g"), "entry").collect()]
 
 
 def label_model(counts: list[tuple[int, int | None, int]], rounds: int = 100):
