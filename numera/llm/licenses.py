@@ -108,14 +108,22 @@ def rules() -> tuple[Rule, ...]:
 
     for label, long, short, versions in VERSIONED:
         keys = {"php", "sil"} & {long[:3]} or {w for w in re.findall("[a-z0-9]{3,}", re.sub(r"\(.*?\)|licen\[cs\]e", " ", long)) if w not in ("the", "and", "you", "what", "want", "public", "open", "software", "free", "source", "general", "gnu")}
+        if not keys:  # a long name of common words alone: one that it must contain
+            must = re.findall("[a-z0-9]+", re.sub(r"\(.*?\)|licen\[cs\]e", " ", long))
+            keys = {next((w for w in ("gnu", "software") if w in must), min(must, key=len))}
         keys |= {s.split(" ")[-1] for s in short} | ({"gnu"} if "gnu" in long else set())
         names = "|".join([long, *short])
+        # gplv2 is one word; without the v only where no program is called so (apache2)
+        glue = ("v", "") if label.endswith("gpl") else ("v",)
         for v in versions:
             tail = v if " " not in v else v + "(?: 0)?"
             stem = f"(?:{names}) (?:version |v ?|ver )?{tail}"
-            add(f"{label}-{v.replace(' ', '.')}", stem, keys, 60, 0.9)
-            add(f"{label}-{v.replace(' ', '.')}-or-later", f"{stem} or (?:any |at your option any )?later(?: version)?", keys, 80, 0.95)
-            add(f"{label}-{v.replace(' ', '.')}", f"{IN_FRONT} {stem}", keys, 70, 0.95)
+            own = keys | {s.split(" ")[-1] + g + v.split(" ")[0] for s in short for g in glue}
+            if short:
+                stem = f"(?:{stem}|(?:{'|'.join(short)})(?:{'|'.join(glue)}){tail})"
+            add(f"{label}-{v.replace(' ', '.')}", stem, own, 60, 0.9)
+            add(f"{label}-{v.replace(' ', '.')}-or-later", f"{stem} or (?:any |at your option any )?later(?: version)?", own, 80, 0.95)
+            add(f"{label}-{v.replace(' ', '.')}", f"{IN_FRONT} {stem}", own, 70, 0.95)
         add(label, f"{IN_FRONT} (?:{names})", keys, 50, 0.85)
         add(label, long, keys, 40, 0.7)
         for s in short:
