@@ -51,6 +51,12 @@ def linalg_kron(spark, d):
     return linalg.kron(matrix(spark, d).where("j < 4"), b, 2, 2)
 
 
+@query("i j", "v", f"WITH a AS ({MATRIX_SQL}) SELECT i * 2 + b.x AS i, j * 2 + b.y AS j, a.v * b.v AS v FROM a, (VALUES (0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)) b(x, y, v)")
+def linalg_kron_whole(spark, d):
+    b = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)], "i long, j long, v double")
+    return linalg.kron(matrix(spark, d), b, 2, 2)
+
+
 @query("k", "v", f"WITH a AS ({MATRIX_SQL}) SELECT j AS k, sum(v * v) AS v FROM a GROUP BY j", 4)
 def tensor_einsum(spark, d):
     a = matrix(spark, d).select("i", F.col("j").alias("k"), "v")
@@ -180,3 +186,8 @@ def formula_columns(spark, d):
 def crypto_digests(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.md5(t).alias("md"), F.octet_length(t).cast("long").alias("n_bytes"), F.base64(F.substring(t, 1, 30).cast("binary")).alias("b64"))
+
+
+@query("doc_id b64", "", "SELECT doc_id, base64(encode(text)) AS b64 FROM documents")
+def crypto_base64(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "").alias("b64"))
