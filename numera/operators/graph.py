@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,12 @@ def triangles(edges: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array("src", "a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
 
 
-def bfs(edges: DataFrame, source: int, max_depth: int = 50) -> DataFrame:
-    """id, depth of all vertices that source reaches."""
+def bfs(edges: DataFrame, source: int, max_depth: int | None = None) -> DataFrame:
+    """id, depth of all vertices that source reaches, or reaches in max_depth steps."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(source, 0)], "id long, depth int")
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = _checkpointed(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -51,8 +53,9 @@ def bfs(edges: DataFrame, source: int, max_depth: int = 50) -> DataFrame:
     return seen
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """id, rank: unweighted; the mass of vertices without out-edges is dropped."""
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """id, rank: unweighted; the mass of vertices without out-edges is dropped. Ends when a round changes all ranks
+    together by less than tolerance, or after so many rounds."""
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
     links = _checkpointed(edges.select("src", "dst").join(out, "src"))
@@ -61,7 +64,10 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         given = links.join(ranks, links["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        ranks = _checkpointed(ids.join(given, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        step = _checkpointed(ranks.join(given, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
+        ranks = step.select("id", "rank")
+        if (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
+            break
     return ranks
 
 

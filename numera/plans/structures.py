@@ -91,7 +91,7 @@ def graph_components(spark, d):
 @query("id depth", "", f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({TRADE_SQL}) UNION SELECT dst, src FROM ({TRADE_SQL})), r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 4) SELECT id, min(depth) AS depth FROM r GROUP BY id""")
 def graph_bfs(spark, d):
     e = trade(spark, d)
-    return graph.bfs(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 1, 4)
+    return graph.bfs(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 1)
 
 
 @query("id", "rank", f"""WITH RECURSIVE e AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS f FROM (SELECT src, dst FROM ({TRADE_SQL}) UNION SELECT dst, src FROM ({TRADE_SQL}))), n AS (SELECT DISTINCT src AS id FROM e), c AS (SELECT count(*) AS c FROM n),
@@ -102,6 +102,12 @@ def graph_pagerank(spark, d):
     return graph.pagerank(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds=2)
 
 
+@query("id", "rank", None, 12)
+def graph_pagerank_converged(spark, d):
+    e = trade(spark, d)
+    return graph.pagerank(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+
+
 @query("g", "min_x max_x min_y max_y centroid_x centroid_y", "SELECT label AS g, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, avg(x) AS centroid_x, avg(y) AS centroid_y FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label")
 def geo_bounding_box(spark, d):
     return geo.bounding_box(_points(spark, d), ["g"], "x", "y")
