@@ -68,6 +68,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys with more rows than this are joined by broadcast, as long as there are at most so many of them.
+HEAVY, BROADCAST_HEAVY = 500, 1_000_000
+
+
+def spread_join(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined to counted on key. counted: a written table with all of the keys, each once, and n, how many rows it has.
+
+    Keys of many rows are broadcast, so that none of them lands in one task. There is at most one of them in HEAVY rows.
+    """
+    heavy = counted.where(F.col(n) > HEAVY).drop(n)
+    many = heavy.count()
+    if not many:
+        return rows.join(counted.drop(n), key)
+    few = F.broadcast if many <= BROADCAST_HEAVY else lambda df: df
+    rest = rows.join(few(heavy.select(key)), key, "left_anti").join(counted.where(F.col(n) <= HEAVY).drop(n), key)
+    return rows.join(few(heavy), key).unionByName(rest)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(c, UPPER, LOWER)

@@ -3,17 +3,19 @@
 The bits of a fingerprint are grouped into partitions, correlated bits together. If two fingerprints differ in at most
 d bits, then for thresholds t_1..t_m with a sum of d - m + 1 they differ in at most t_i bits in some partition i (a
 threshold of -1 leaves a partition out). Which thresholds make fewest candidates is found by dynamic programming over
-estimated counts. Each partition is then probed by all values within its threshold, and candidates are verified.
+estimated counts. Each partition is then probed, half of its threshold from either side, and candidates are verified:
+by their distance, and where texts have to be similar, on the whole sets of their shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spread_join, table
 from .components import components
 from .tokenize import release
 
@@ -21,30 +23,45 @@ BITS, DISTANCE, SHINGLE = 64, 4, 4
 #: Fingerprints from which costs are estimated. They decide how fast a join is, never what it finds.
 SAMPLE = 2048
 #: What a probe costs against a candidate pair.
-PROBE_COST = 0.5
-#: A bucket with more rows is split by the bits outside its partition.
-BUCKET = 1000
-#: Split buckets up to this number are broadcast.
-BROADCAST_BUCKETS = 100_000
-
-
-def _fingerprint(text: bytes, shingle: int) -> int:
-    """As a signed 64-bit number."""
+PROBE_COST = 2.0
+#: A key under which more meet is hot; what fewer fingerprints share alone does not make a key hot.
+BUCKET, SHARED = 64, 4
+#: Keys up to this number are broadcast.
+BROADCAST_KEYS = 1_000_000
+#: Nodes under a hot key are first compared to one of so many, chosen by the key.
+PIVOTS = 3
+#: Of first_of_each_group(): bits in which fingerprints over single words may differ, and the shingles of the exact check.
+WORD_DISTANCE, VERIFY_SHINGLE = 8, 5
+
+
+def _shingle_hashes(found: list[bytes], shingle: int):
+    """Arrays of the hashes of all shingles of the words, some 65,536 at a time."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    found = text.lower().split()  # of bytes: A-Z, and white space of ASCII
     if not found:
-        return 0
+        return
     joined, k = b" ".join(found), min(shingle, len(found))
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     first = [0, *(ends[: len(found) - k] + 1).tolist()]
     last = ends[k - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(first), 65_536):
-        h = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[at : at + 65_536], last[at : at + 65_536])], "<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[at : at + 65_536], last[at : at + 65_536])], "<u8")
+
+
+def _majority(hashes) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number; of none: 0."""
+    import numpy as np
+
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view("<i8")[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def _fingerprint(text: bytes, shingle: int) -> int:
+    return _majority(_shingle_hashes(text.lower().split(), shingle))  # of bytes: A-Z, and white space of ASCII
 
 
 def _fingerprints(shingle: int):
@@ -104,6 +121,7 @@ def choose_partitions(sample: list[int], total: int, distance: int = DISTANCE) -
 
     bits = np.unpackbits(np.array(sample, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) if sample else np.zeros((0, BITS), np.float32)
     i, j = np.triu_indices(len(bits), 1)
+    total = max(total, 1000)  # of few nodes, any partitions do
     pairs = total * (total - 1) / 2
     found = []
     for m in range(2, distance + 2):
@@ -115,72 +133,101 @@ def choose_partitions(sample: list[int], total: int, distance: int = DISTANCE) -
             apart = np.rint((gram + gram.T)[i, j]) if len(bits) else np.zeros(0)
             row = [0.0]
             for t in range(distance + 1):
-                ball = sum(comb(len(g), k) for k in range(t + 1))
+                ball, probes = (sum(comb(len(g), k) for k in range(r + 1)) for r in (t, (t + 1) // 2))
                 # a sample is too small to see rare collisions: they are no rarer than between random bits
                 share = max(float((apart <= t).mean()) if len(apart) else 0.0, ball / 2.0 ** len(g))
-                row.append(share * pairs + PROBE_COST * ball * total)
+                row.append(share * pairs + PROBE_COST * probes * total)
             costs.append(row)
         cost, chosen = allocate(costs, distance)
         found.append((cost, [(g, t) for g, t in zip(groups, chosen) if t >= 0]))
     return min(found, key=lambda x: x[0])[1]
 
 
+def _ball(bits: list[int], radius: int) -> list[int]:
+    """Masks of all ways to flip at most radius of the bits, the one that flips none first."""
+    return [_mask(list(c)) for n in range(radius + 1) for c in combinations(bits, n)]
+
+
 def _mask(bits: list[int]) -> int:
     m = sum(1 << b for b in bits)
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _near_values(part: int, own: Column, flips: list[int]) -> Column:
-    return F.transform(F.array(*(F.lit(f).cast("long") for f in flips)), lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("key")))
+def _near_values(part: int, value: Column, flips: list[int], own: int) -> Column:
+    """Array of (key, own) of the partition's values that the flips make of value; the first ones are own."""
+    key = lambda f, i: F.struct(F.xxhash64(F.lit(part), value.bitwiseXOR(f)).alias("key"), (i < own).alias("own"))
+    return F.transform(F.expr(f"array({', '.join(f'bigint({f})' for f in flips)})"), key)
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """u, v long: pairs of different fingerprints that differ in at most distance bits; a pair may be found more than once.
+def _probes(parts: list[tuple[list[int], int]]) -> Column:
+    """Array of (key, own) of a fingerprint fp: the values within half of each partition's threshold, rounded up; own
+    are those within half of it rounded down. Two fingerprints within the threshold meet under a key that one of them owns."""
+    return F.concat(*(_near_values(k, F.col("fp").bitwiseAND(F.lit(_mask(bits))), _ball(bits, (t + 1) // 2), len(_ball(bits, t // 2))) for k, (bits, t) in enumerate(parts)))
 
-    fps: distinct fp long. Large buckets are split by the pigeonhole principle on all other bits, which loses no pair.
+
+def _hot_keys(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """Keys under which many meet. Only values that several fingerprints share count: the others add a few to each key."""
+    values = F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("value")) for k, (bits, _) in enumerate(parts)))
+    shared = nodes.select(F.explode(values).alias("x")).groupBy("x.part", "x.value").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    around = None
+    for k, (bits, t) in enumerate(parts):
+        keys = shared.where(F.col("part") == k).select("n", F.explode(_near_values(k, F.col("value"), _ball(bits, (t + 1) // 2), 0)).alias("x")).select("n", "x.key")
+        around = keys if around is None else around.unionByName(keys)
+    return around.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET).select("key")
+
+
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+
+
+def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """u, v long: pairs of nodes whose fingerprints differ in at most distance bits and that verify keeps, enough of them
+    to connect all that such pairs connect. nodes: node (distinct), fp long, in a written table.
+
+    Under a key of few nodes, all are compared. Under others, all are first compared to one of them; then those that are
+    not of the component that most of the key's nodes have got are compared to the rest, where they also agree in one of
+    distance + 1 pieces of the bits outside the partition. So a group of near copies costs about a comparison a node and
+    key, not one a pair, and nothing is left out.
     """
-    total = fps.count()
-    sample = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    verify = verify or (lambda pairs: pairs)
+    total = nodes.count()
+    sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp"), "node").limit(SAMPLE).select("fp").collect()]
     parts = choose_partitions(sample, total, distance)
-    index, probes = [], []
-    for k, (bits, t) in enumerate(parts):
-        mask = _mask(bits)
-        index.append(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-        flips = [_mask(list(c)) for n in range(t + 1) for c in combinations(bits, n)]
-        probes.append(_near_values(k, F.col("fp").bitwiseAND(F.lit(mask)), flips))
-    stored = fps.select(F.col("fp").alias("u"), F.explode(F.array(*index)).alias("x")).select("u", "x.part", "x.key")
-    asked = fps.select(F.col("fp").alias("v"), F.explode(F.concat(*probes)).alias("x")).select("v", "x.part", "x.key")
-    close = F.expr(f"u <> v AND bit_count(u ^ v) <= {distance}")
-    found = []
-    hot = materialize(stored.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("part", "key"), "buckets")
+    keyed = nodes.select("node", "fp", F.explode(_probes(parts)).alias("x")).select("node", "fp", "x.key", "x.own")
+    as_ = lambda df, a: df.select("key", *(F.col(c).alias(f"{a}_{c}") for c in df.columns if c != "key"))
+    close = F.expr(f"(a_own OR b_own) AND bit_count(a_fp ^ b_fp) <= {distance}")
+
+    hot = materialize(_hot_keys(nodes, parts), "hot-keys")
     n_hot = hot.count()
+    cold = keyed
     if n_hot:
-        few = F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot
-        pieces = []
-        for k, (bits, _) in enumerate(parts):
-            rest = [b for b in range(BITS) if b not in bits]
-            pieces.append([_mask(rest[p :: distance + 1]) for p in range(distance + 1)])
-        split = lambda c: F.posexplode(F.element_at(F.array(*(F.array(*(F.col(c).bitwiseAND(F.lit(x)) for x in p)) for p in pieces)), F.col("part") + 1)).alias("piece", "value")
-        on = ["part", "key", "piece", "value"]
-        found.append(stored.join(few, ["part", "key"]).select("u", "part", "key", split("u")).join(asked.join(few, ["part", "key"]).select("v", "part", "key", split("v")), on).where(close).select("u", "v"))
-        stored = stored.join(few, ["part", "key"], "left_anti")
-    found.append(stored.join(asked, ["part", "key"]).where(close).select("u", "v"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def near_groups(rows: DataFrame, order: list[str], distance: int = DISTANCE) -> DataFrame:
-    """fp long, first: a struct of the order columns, the smallest of all rows reachable from fp. rows: fp and order columns.
-
-    Equal fingerprints are one node, so a text that fills a third of the rows costs one row a task.
-    """
-    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("first")), "fingerprints")
-    found = components(near_links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fp", "root").join(firsts, "root").select("fp", "first")
+        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        cold = keyed.join(few, "key", "left_anti")
+    pairs = as_(cold, "a").join(as_(cold, "b"), "key").where("a_node < b_node").where(close)
+    links = materialize(verify(materialize(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct(), "pairs")), "links")
+    if not n_hot:
+        return links
+
+    met = materialize(keyed.join(few, "key"), "met")
+    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS))).alias("h"), "node", "fp")
+    pivots = met.where("own").groupBy("key").agg(F.min(order).alias("b")).select("key", F.col("b.node").alias("b_node"), F.col("b.fp").alias("b_fp"), F.lit(True).alias("b_own"))
+    pivots = F.broadcast(pivots) if n_hot <= BROADCAST_KEYS else pivots
+    first = as_(met, "a").join(pivots, "key").where("a_node <> b_node").where(close)
+    first = materialize(first.select(*_pair("a_node", "b_node")).distinct(), "pairs")
+    links = links.unionByName(materialize(verify(first), "links"))
+
+    # what the first comparisons leave apart
+    roots = components(links)
+    met = materialize(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "met")
+    main = met.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    met = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key")
+    piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
+    split = met.select("key", "node", "fp", "own", "root", "main", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).alias("piece", "value"))
+    split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("piece", "value")
+    apart = as_(split.where("root <> main"), "a")
+    more = apart.join(as_(split, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close)
+    more = materialize(more.select(*_pair("a_node", "b_node")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    return links if more.isEmpty() else links.unionByName(materialize(verify(more), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -192,20 +239,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     rows = materialize(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], "_text", shingle), "fp")
+    # equal fingerprints are one node, so a text that fills a third of the rows costs one row a task
     # nulls sort first in a struct: the id is wanted, so they go last
-    keyed = rows.select("fp", F.col("_id").isNull().alias("_none"), "_id")
-    groups = near_groups(keyed, ["_none", "_id"], distance)
-    return rows.join(groups, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first._id").alias("component_id"))
-
-
-def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id, and one of its repeats."""
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    rows = materialize(rows, "rows")  # so that row numbers stay
-    fp = materialize(fingerprints(rows, ["_id", "_row"], "_text", shingle), "fp")
-    keyed = fp.select("fp", F.col("_id").isNull().alias("_none"), "_id", "_row")
-    kept = near_groups(keyed, ["_none", "_id", "_row"], distance).select("first._row").distinct()
-    return rows.join(kept, "_row", "left_semi").select("_doc.*")
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id")).alias("first")
+    nodes = materialize(rows.groupBy("fp").agg(best, F.count("*").alias("n")).withColumn("node", F.col("fp")), "fingerprints")
+    found = components(near_links(nodes.select("node", "fp"), distance))
+    rooted = materialize(nodes.join(found, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes")), "firsts")
+    known = materialize(spread_join(rooted, firsts, "root", "nodes").select("fp", "n", F.col("least._id").alias("component_id")), "known")
+    return spread_join(rows, known, "fp", "n").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingles(text: bytes, shingle: int = VERIFY_SHINGLE):
+    """The distinct 64-bit hashes of a text's word shingles, sorted; a shorter text is one shingle, a blank one has none."""
+    import numpy as np
+
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(h.view("<i8") for h in _shingle_hashes(text.lower().split(), shingle))]))
+
+
+def _sets(it):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in it:
+        made = [shingles(t) for t in b.column(1).to_pylist()]
+        flat = np.concatenate([*made, np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat, pa.int64()))], ["node", "hashes"])
+
+
+def _names(shingle: int):
+    """A 128-bit name of a text's words, and its fingerprint, beside the carried columns."""
+
+    def batches(it):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        release()
+        for b in it:
+            texts = [t.lower().split() for t in b.column(b.num_columns - 1).to_pylist()]
+            name = np.frombuffer(b"".join(xxh3_128_digest(b" ".join(w)) for w in texts), "<i8").reshape(-1, 2)
+            fp = [_majority(_shingle_hashes(list(set(w)) if shingle == 1 else w, shingle)) for w in texts]
+            made = [pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "name1", "name2", "fp"])
+
+    return batches
+
+
+def _row_hashes(docs: DataFrame) -> dict[str, Column]:
+    """128 bits that name a row by all its columns; equal rows are named alike."""
+    columns = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in ((f"`{c}`", kind) for c, kind in docs.dtypes)]
+    nulls = [F.isnull(f"`{c}`") for c in docs.columns]  # a null leaves a hash as it was
+    return {f"_r{k}": F.xxhash64(F.lit(k), *nulls, *columns) for k in (1, 2)}
+
+
+def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = WORD_DISTANCE) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id, and one of its repeats.
+
+    Documents link whose sets of 5-word shingles (words lower-cased in A-Z, divided by ASCII white space) have a Jaccard
+    similarity of 0.8 at least. Candidates are texts whose fingerprints over their distinct words differ in at most
+    distance bits, and each is verified on the whole sets. Texts of the same words in the same order always link; null
+    and blank texts are alike; a text of fewer words is one shingle. Null ids come after all others. Rows that are equal
+    in all columns are one. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    rows = docs.withColumns(_row_hashes(docs))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    light = rows.select(F.col(id_col).alias("_id"), "_r1", "_r2", text.alias("_text"))
+    named = light.mapInArrow(_names(1), f"_id {light.schema['_id'].dataType.simpleString()}, _r1 long, _r2 long, name1 long, name2 long, fp long")
+    named = materialize(named, "names")
+    best = named.groupBy("name1", "name2").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_r1", "_r2")).alias("first"), F.any_value("fp").alias("fp"))
+    nodes = materialize(best.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = rows.select("_r1", "_r2", text.alias("_text"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "first._r1", "first._r2")
+        wanted = materialize(wanted, "wanted")
+        if wanted.count() <= BROADCAST_KEYS:
+            wanted = F.broadcast(wanted)
+        some = texts.join(wanted, ["_r1", "_r2"]).select("node", "_text")
+        sets = some.mapInArrow(_sets, "node long, hashes array<long>").groupBy("node").agg(F.any_value("hashes").alias("hashes"))  # equal rows are one
+        sets = materialize(sets, "sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+        return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("u", "v")
+
+    roots = components(near_links(nodes.select("node", "fp"), distance, similar))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._r1", "first._r2")
+    # of each kept name, how many rows have it; the other rows go
+    names = named.groupBy("_r1", "_r2").agg(F.count("*").alias("n")).join(kept.withColumn("_kept", F.lit(True)), ["_r1", "_r2"], "left")
+    names = materialize(names.select("_r1", "_r2", "n", F.coalesce("_kept", F.lit(False)).alias("_kept")), "kept")
+    gone, again = names.where("NOT _kept").select("_r1", "_r2"), names.where("_kept AND n > 1").select("_r1", "_r2")
+    bounded = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    out = rows.join(bounded(gone), ["_r1", "_r2"], "left_anti")
+    if not again.isEmpty():
+        again = bounded(again)
+        once = out.join(again, ["_r1", "_r2"], "left_semi").groupBy("_r1", "_r2").agg(F.any_value(F.struct(*(f"`{c}`" for c in docs.columns))).alias("_doc"))
+        out = out.join(again, ["_r1", "_r2"], "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(once.select("_doc.*"))
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
