@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numera.llm import decontamination, packing, quality_rules, set_join, toxicity
+from numera.llm import decontamination, packing, quality_rules, simhash, toxicity
 from numera.llm.common import materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,8 +21,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8 at least, verified."""
-    return set_join.first_of_each_group(docs)
+    """One document of each group of near-duplicates: SimHash candidates, verified at a similarity of 0.8 over 5-word shingles."""
+    return simhash.first_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
