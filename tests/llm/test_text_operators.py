@@ -352,3 +352,10 @@ def test_model_probabilities_sum_to_one():
     for k in range(n):
         total += math.exp(float(M.log_probs(p, v.prior, slots, np.array([0]), np.array([v.klass[k]]))[0]) + float(v.within(before[k : k + 1], np.array([k]))[0]))
     assert math.isclose(total, 1.0, rel_tol=1e-3)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(i, prose(5000 + i, 80)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, eight = ({r["_doc"]["doc_id"]: r["score"] for r in scoring.lm_scores(docs.repartition(n), BPE, ["doc_id"], F.lit(True)).collect()} for n in (1, 8))
+    assert all(math.isclose(one[i], eight[i], rel_tol=1e-4) for i in one)
