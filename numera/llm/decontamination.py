@@ -19,8 +19,9 @@ MASKS = ("111111", "11101011", "101100111")
 #: Words that an overlap has at least, and the share of them that agree. Shorter benchmark texts, of 5 words or more,
 #: have to be found whole and unchanged.
 MIN_WORDS, MIN_EQUAL, SHORTEST = 12, 0.8, 5
-#: Words of the benchmark that are sent to the executors at a time (some 50 MB); a larger one is taken in blocks.
-BLOCK_WORDS = 2_000_000
+#: Characters of the benchmark that are sent to the executors at a time; a larger one is taken in blocks. A word takes
+#: two characters at least, so a block holds at most half as many words, in whatever script.
+BLOCK_CHARS = 12_000_000
 _WORD = r"[^\W_]+"
 _BITS = 22
 
@@ -126,11 +127,11 @@ class Benchmark:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """Lists of (id, text), each of a bounded number of words; rows come in one at a time."""
+    """Lists of (id, text), each of a bounded number of characters (or of one text); rows come in one at a time."""
     block, size = [], 0
     for r in benchmark.select(id_col, F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
-        n = r[1].count(" ") + 1
-        if block and size + n > BLOCK_WORDS:
+        n = len(r[1])
+        if block and size + n > BLOCK_CHARS:
             yield block
             block, size = [], 0
         block.append((r[0], r[1]))

@@ -31,16 +31,18 @@ LEARNT_VOTERS, PATTERNS = 7, 3
 VOTERS = len(LEXICONS) + LEARNT_VOTERS + PATTERNS
 #: How many times greater the odds of toxic are among texts with a learnt entry than among all.
 ODDS = 3
-#: Labelled rows that the linear classifier is fitted on, at most; those with the smallest hashes.
+#: Rows that the linear classifier is fitted on, at most, of the labelled and of the others; those with the smallest hashes.
 FIT_ROWS = 40_000
+#: What a row without a label weighs in that fit, against one with a label: its posterior is less sure.
+OTHER_WEIGHT = 0.2
 #: Distinct entries that a task holds before it hands their counts on.
 ENTRIES_HELD = 500_000
 #: Rows whose checksum leaves 0 by this are held out: their labels are never looked at.
 HELD_OUT = 5
 #: Labels up to this number are broadcast.
 BROADCAST_LABELS = 1_000_000
-#: How sure the label model takes a given label to be.
-LABEL_TRUST = 0.98
+#: Labels are one more voter. Before any is seen, it is taken to be right so often, as if so many rows had shown it.
+LABEL_TRUST, LABEL_ROWS = 0.9, 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 _AGAIN = re.compile(r"[!?]{3,}")
@@ -139,8 +141,9 @@ def learn_entries(labelled: DataFrame) -> list[str]:
 def label_model(counts: list[tuple[int, int | None, int]], rounds: int = 100):
     """Posterior of toxic by vote pattern, a dict. counts: (pattern, label or None, rows).
 
-    Expectation-maximisation over a latent class: each voter fires with one rate on toxic and another on other rows. Of
-    the covariance of two votes, what the classes do not explain is their correlation; votes that are correlated with
+    Expectation-maximisation over a latent class: each voter fires with one rate on toxic and another on other rows; the
+    given labels are one more voter, which abstains on other rows and whose accuracy is estimated like that of the
+    others. Of the covariance of two votes, what the classes do not explain is their correlation; votes that are correlated with
     others count for less.
     """
     import numpy as np
@@ -151,9 +154,8 @@ def label_model(counts: list[tuple[int, int | None, int]], rounds: int = 100):
     votes = ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
     n = np.array([c[2] for c in counts], float)
     known = np.array([-1.0 if c[1] is None else float(c[1]) for c in counts])
-    given = np.where(known == 1, LABEL_TRUST, 1 - LABEL_TRUST)
     fired = votes.any(1)
-    q = np.where(known >= 0, given, np.where(fired, 0.5, 0.02))
+    q = np.where(known >= 0, np.where(known == 1, LABEL_TRUST, 1 - LABEL_TRUST), np.where(fired, 0.5, 0.02))
     weight = np.ones(VOTERS)
     for _ in range(rounds):
         a, b = n * q, n * (1 - q)
@@ -161,10 +163,11 @@ def label_model(counts: list[tuple[int, int | None, int]], rounds: int = 100):
         on = (votes.T @ a + 0.1) / (a.sum() + 1)
         off = (votes.T @ b + 0.1) / (b.sum() + 10)
         z = np.log(share / (1 - share)) + votes @ (weight * np.log(on / off)) + (1 - votes) @ (weight * np.log((1 - on) / (1 - off)))
+        said = known >= 0
+        right = (a[known == 1].sum() + LABEL_TRUST * LABEL_ROWS) / (a[said].sum() + LABEL_ROWS)
+        wrong = (b[known == 1].sum() + (1 - LABEL_TRUST) * LABEL_ROWS) / (b[said].sum() + LABEL_ROWS)
+        z += np.where(known == 1, np.log(right / wrong), np.where(known == 0, np.log((1 - right) / (1 - wrong)), 0.0))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # a given label is one more vote, of known accuracy
-        odds = np.where(known == 1, LABEL_TRUST / (1 - LABEL_TRUST), np.where(known == 0, (1 - LABEL_TRUST) / LABEL_TRUST, 1.0))
-        new = np.where(known >= 0, new * odds / (new * odds + 1 - new), new)
         # correlations within the classes
         total = n.sum()
         both = (votes * n[:, None]).T @ votes / total
@@ -180,8 +183,8 @@ def label_model(counts: list[tuple[int, int | None, int]], rounds: int = 100):
     return {(int(p), None if k < 0 else int(k)): float(x) for p, k, x in zip(patterns, known, q)}
 
 
-def fit_linear(inputs: list[list[int]], targets: list[float], width: int, rounds: int = 400, penalty: float = 1e-3) -> tuple[list[float], float]:
-    """Logistic regression on soft labels: weights and bias."""
+def fit_linear(inputs: list[list[int]], targets: list[float], weights: list[float], width: int, rounds: int = 400, penalty: float = 1e-3) -> tuple[list[float], float]:
+    """Logistic regression on soft labels of given weights: coefficients and bias."""
     import numpy as np
 
     w, bias = np.zeros(width), -2.0
@@ -189,11 +192,12 @@ def fit_linear(inputs: list[list[int]], targets: list[float], width: int, rounds
         col = np.array([c for x in inputs for c in x], np.int64)
         row = np.repeat(np.arange(len(inputs)), [len(x) for x in inputs])
         y, n = np.array(targets), len(inputs)
+        share = np.array(weights) / np.sum(weights)
         sq, sq_b = np.full(width, 1e-8), 1e-8
         for _ in range(rounds):
             z = bias + np.bincount(row, w[col], n)
-            d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            g, g_b = np.bincount(col, d[row], width) / n + penalty * w * 0.01, d.mean()
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
+            g, g_b = np.bincount(col, d[row], width) + penalty * w * 0.01, d.sum()
             sq, sq_b = sq + g * g, sq_b + g_b * g_b
             w -= 0.5 * g / np.sqrt(sq)
             bias -= 0.5 * g_b / np.sqrt(sq_b)
@@ -255,8 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most 2^16 patterns and 3 kinds of label
     counts = marked.groupBy("pattern", "toxic").agg(F.count("*").alias("n")).collect()
     posterior = label_model([(r["pattern"], r["toxic"], r["n"]) for r in counts])
-    sample = marked.where("toxic IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS).select("pattern", "toxic", "inputs").collect()
-    model.weights, model.bias = fit_linear([r["inputs"] for r in sample], [posterior[(r["pattern"], r["toxic"])] for r in sample], len(places) + VOTERS)
+    drawn = lambda which: marked.where(which).orderBy(F.xxhash64("_id"), "_id", "pattern").limit(FIT_ROWS).select("pattern", "toxic", "inputs").collect()
+    sample, others = drawn("toxic IS NOT NULL"), drawn("toxic IS NULL")
+    both = sample + others
+    model.weights, model.bias = fit_linear([r["inputs"] for r in both], [posterior[(r["pattern"], r["toxic"])] for r in both], [1.0] * len(sample) + [OTHER_WEIGHT] * len(others), len(places) + VOTERS)
     if not sample:  # no labels: a vote of a hand-written lexicon decides
         model.weights = [4.0 if i < len(hand) else 0.0 for i in range(len(places) + VOTERS)]
     return model

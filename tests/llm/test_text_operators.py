@@ -251,6 +251,9 @@ def test_quality(spark, docs, empty, texts):
     assert quality_rules.host_quality(empty, ["doc_id"]).count() == 0
 
 
+DOCS_3 = "doc_id long, text string, source string"
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     bad = ["zorbak", "quvenol", "idiot"]
@@ -359,3 +362,58 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one, eight = ({r["_doc"]["doc_id"]: r["score"] for r in scoring.lm_scores(docs.repartition(n), BPE, ["doc_id"], F.lit(True)).collect()} for n in (1, 8))
     assert all(math.isclose(one[i], eight[i], rel_tol=1e-4) for i in one)
+
+
+def test_unlabelled_rows_count():
+    """Voter 2 never fires on a labelled row; it is learnt through the votes that it agrees with."""
+    counts = [(0b011, 1, 40), (0b000, 0, 400), (0b000, None, 4000), (0b111, None, 300), (0b100, None, 20)]
+    post = toxicity.label_model(counts)
+    assert post[(0b111, None)] > 0.9 > 0.3 > post[(0b000, None)] and post[(0b100, None)] > 10 * post[(0b000, None)]
+    assert post[(0b011, 1)] > 0.95 and post[(0b000, 0)] < 0.05
+
+
+def test_a_host_decides_on_repeated_lines(spark):
+    lines = lambda i: "\n".join(x for k in range(5) for x in (prose(100 * i + k, 12), "read on"))
+    rows = [(i, lines(i) if i % 2 else prose(i, 60), "loud") for i in range(40)] + [(100 + i, lines(i) if i == 1 else prose(i, 60), "calm") for i in range(40)] + [(200, lines(3), None)]
+    got = {r["_doc"]["doc_id"]: r for r in quality_rules.host_quality(spark.createDataFrame(rows, DOCS_3), ["doc_id"]).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and got[1]["dup_lines"] and got[101]["dup_lines"] and got[200]["dup_lines"]
+    assert not got[1]["kept"] and got[2]["kept"] and got[101]["kept"] and got[200]["kept"]  # what only the host tells apart
+
+
+def test_second_half_meets_stored_counts(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    first = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    token_counts.extend_cache(first, BPE, cache)
+    both = first.unionByName(spark.createDataFrame([(3, "one two"), (4, "four")], "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_tokens"] is None for r in token_counts.cached_counts(both, BPE, cache).collect()} == {1: False, 2: False, 3: False, 4: True}
+    token_counts.extend_cache(both, BPE, cache)
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_base_places_equal_their_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet' UNION ALL SELECT * REPLACE (doc_id + 1000000 AS doc_id, 'MIT license, cc by cc-by; ' || text || ' Apache\nLicense' AS text) FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(licenses.BASE_SQL).fetchall())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.withColumns({"doc_id": F.col("doc_id") + 1000000, "text": F.concat(F.lit("MIT license, cc by cc-by; "), "text", F.lit(" Apache\nLicense"))})
+    base = licenses.license_scan(docs.unionByName(more), ["doc_id"])
+    got = [(r["_doc"]["doc_id"], r["n_words"], len(r["base"]), min((p["first"] for p in r["base"]), default=None), max((p["first"] for p in r["base"]), default=None), ",".join(sorted({p["label"] for p in r["base"]}))) for r in base.collect()]
+    assert sorted(got) == want
+
+
+def test_recall_of_overlaps_by_length():
+    """Against brute force: passages of 12 to 40 words with a fifth of them substituted, equal at both ends."""
+    rng, found, all_ = random.Random(5), 0, 0
+    for k in range(300):
+        n = rng.randint(12, 40)
+        words = prose(9000 + k, n).split()
+        item = decontamination.Benchmark([("k", " ".join(words))])
+        changed = list(words)
+        for i in rng.sample(range(1, len(words) - 1), len(words) // 5):
+            changed[i] = f"other{i}"
+        all_ += 1
+        found += bool(item.overlaps("lead in " + " ".join(changed) + " lead out"))
+    assert found >= 0.95 * all_
