@@ -21,6 +21,8 @@ from .tokenize import encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
+#: Tokens of the stream to a block; it decides speed only.
+BLOCK = 512
 
 
 def escape(c: Column) -> Column:
@@ -49,8 +51,8 @@ def parse(formatted: str) -> tuple[str, str, int, int]:
 
 @dataclass
 class Tree:
-    """nodes: k1, k2 (its name), depth, role, ids (binary, little-endian unsigned 32-bit), n_tokens, stream_start,
-    position_start, ancestors (array of from, to in the stream). members: conv_id, order, depth, k1, k2."""
+    """nodes: k1, k2 (its name), depth, role, ids (binary, little-endian unsigned 32-bit), n_tokens, loss_from, loss_to (its
+    tokens under the loss mask: those of a learnt text), stream_start, position_start, ancestors (array of from, to in the stream). members: conv_id, order, depth, k1, k2."""
 
     nodes: DataFrame
     members: DataFrame
@@ -61,14 +63,22 @@ def _encode(path: str):
         import pyarrow as pa
 
         ids, at = encoder(path).ids, 0
+        tail = ids(END + "\n")
         for b in it:
-            made = [ids(t) for t in b.column("segment").to_pylist()]
+            made, learnt = [], []
+            # head, text and tail are encoded one by one, so that the loss mask starts and ends between tokens
+            for s, role in zip(b.column("segment").to_pylist(), b.column("role").to_pylist()):
+                cut = s.index("\n") + 1
+                head, text = ids(s[:cut]), ids(s[cut : len(s) - len(END) - 1])
+                made.append(head + text + tail)
+                learnt.append((len(head) // 4, (len(head) + len(text)) // 4) if role == LEARNT_ROLE else (0, 0))
             starts = []
             for x in made:
                 starts.append(at)
                 at += len(x) // 4
             keep = [b.column(c) for c in ("k1", "k2", "owner", "depth", "role", "_part")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(made, pa.binary()), pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(starts, pa.int64())], ["k1", "k2", "owner", "depth", "role", "_part", "ids", "n_tokens", "_start"])
+            own = [pa.array(made, pa.binary()), pa.array([len(x) // 4 for x in made], pa.int64()), *(pa.array([x[k] for x in learnt], pa.int64()) for k in (0, 1)), pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*keep, *own], ["k1", "k2", "owner", "depth", "role", "_part", "ids", "n_tokens", "loss_from", "loss_to", "_start"])
 
     return batches
 
@@ -124,7 +134,7 @@ def prefix_tree(conversations: DataFrame, tokenizer: str, conv_col: str = "conv_
     owners = members.groupBy(names).agg(F.min("order").alias("owner"))
     nodes = rows.groupBy(names).agg(F.any_value("depth").alias("depth"), F.any_value("role").alias("role"), F.any_value("segment").alias("segment")).join(owners, names)
     nodes = nodes.repartitionByRange(parts, "owner", "depth").sortWithinPartitions("owner", "depth").withColumn("_part", F.spark_partition_id())
-    nodes = nodes.mapInArrow(_encode(tokenizer), "k1 long, k2 long, owner long, depth int, role string, _part int, ids binary, n_tokens long, _start long")
+    nodes = nodes.mapInArrow(_encode(tokenizer), "k1 long, k2 long, owner long, depth int, role string, _part int, ids binary, n_tokens long, loss_from long, loss_to long, _start long")
     nodes = materialize(nodes, "nodes")
     # the ranges follow each other in the stream: one row a range
     ends, at = [], 0
@@ -163,15 +173,19 @@ def _read_back(path: str):
             for r in b.to_pylist():
                 if r["order"] != order:
                     close()
-                    order, state = r["order"], [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                formatted = decode(np.frombuffer(r["ids"], "<u4").tolist())
+                    order, state = r["order"], [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                ids = np.frombuffer(r["ids"], "<u4")
+                assert r["position_start"] == state[6], "the intervals of a conversation leave a gap"
+                formatted = decode(ids.tolist())
                 role, text, _, _ = parse(formatted)
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
-                if role == LEARNT_ROLE:
-                    state[3] += len(text)
-                    state[4].update(text.encode())
+                if r["loss_to"] > r["loss_from"]:
+                    learnt = unescape(decode(ids[r["loss_from"] : r["loss_to"]].tolist()))
+                    state[3] += len(learnt)
+                    state[4].update(learnt.encode())
                 state[5] += len(formatted)
+                state[6] += len(ids)
             yield batch()
         close()
         yield batch()
@@ -180,11 +194,19 @@ def _read_back(path: str):
 
 
 def read_back(tree: Tree, tokenizer: str) -> DataFrame:
-    """Each conversation from the tokens of its nodes: digests of its turns and of what stands under the loss mask."""
-    members = tree.members
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.join(tree.nodes.select("k1", "k2", "ids"), ["k1", "k2"]).select("conv_id", "order", "depth", "ids").repartition(parts, "order").sortWithinPartitions("order", "depth")
-    return rows.mapInArrow(_read_back(tokenizer), f"conv_id {members.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Each conversation as its last node attends to it: the tokens of the stream in the intervals of the node's ancestors
+    and its own, by position. Digests of its turns and of what stands under the loss mask."""
+    parts = int(tree.members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = tree.members.groupBy("conv_id", "order").agg(F.max(F.struct("depth", "k1", "k2")).alias("x")).select("conv_id", "order", "x.k1", "x.k2")
+    own = F.array(F.struct(F.col("stream_start").alias("from"), (F.col("stream_start") + F.col("n_tokens")).alias("to")))
+    runs = last.join(tree.nodes.select("k1", "k2", F.concat("ancestors", own).alias("runs")), ["k1", "k2"]).select("conv_id", "order", F.explode("runs").alias("r"))
+    # an interval meets the nodes that begin in it by blocks of the stream
+    block = lambda c: F.floor(c / BLOCK)
+    runs = runs.select("conv_id", "order", "r.from", "r.to", F.explode(F.sequence(block(F.col("r.from")), block(F.col("r.to") - 1))).alias("block"))
+    nodes = tree.nodes.select(block(F.col("stream_start")).alias("block"), "stream_start", "position_start", "loss_from", "loss_to", "ids")
+    rows = runs.join(nodes, "block").where((F.col("stream_start") >= F.col("from")) & (F.col("stream_start") < F.col("to")))
+    rows = rows.select("conv_id", "order", "position_start", "loss_from", "loss_to", "ids").repartition(parts, "order").sortWithinPartitions("order", "position_start")
+    return rows.mapInArrow(_read_back(tokenizer), f"conv_id {tree.members.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

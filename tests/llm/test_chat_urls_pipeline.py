@@ -96,3 +96,13 @@ def test_pipeline(spark):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_reading_back_goes_by_intervals_and_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "c")], CHAT)
+    tree = chat.prefix_tree(df, BPE)
+    read = lambda nodes: {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.Tree(nodes, tree.members), BPE).collect()}
+    assert read(tree.nodes) == {1: (2, 1), 2: (2, 1)}
+    assert read(tree.nodes.withColumns({"loss_from": F.lit(0), "loss_to": F.lit(0)})) == {1: (2, 0), 2: (2, 0)}
+    with pytest.raises(Exception, match="leave a gap"):
+        read(tree.nodes.withColumn("ancestors", F.filter("ancestors", lambda a: F.lit(False))))
