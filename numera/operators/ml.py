@@ -55,11 +55,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, q: str = "q", id_: str =
 
 
 def kmeans(points: DataFrame, k: int, id_: str = "id", vec: str = "vec", rounds: int = 20) -> DataFrame:
-    """id, cluster. Starts from the k points of smallest id; only k centres are on the driver. An empty cluster's centre becomes 0."""
+    """id, cluster. Starts from the k points of smallest id; only k centres are on the driver. An empty cluster's centre becomes 0.
+    Rows without a vector, or with a null in it, are left out; an empty table gives an empty result."""
     import numpy as np
 
-    rows = points.select(F.col(id_).alias("id"), F.col(vec).cast("array<double>").alias("x"))
+    rows = points.select(F.col(id_).alias("id"), F.col(vec).cast("array<double>").alias("x")).where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     centres = np.array([r["x"] for r in rows.orderBy("id").limit(k).collect()])
+    if not len(centres):
+        return rows.select("id", F.lit(0).cast("long").alias("cluster"))
     cluster = None
     for _ in range(rounds):
         far = [F.aggregate(F.zip_with("x", F.lit([float(v) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in centres]

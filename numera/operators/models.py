@@ -9,7 +9,9 @@ from .stats import gram
 
 
 def covariance(points: DataFrame, i: str = "id", vec: str = "vec") -> DataFrame:
-    """i, j, v: sample covariance of an array's places."""
+    """i, j, v: sample covariance of an array's places. Rows without a vector, or with a null in it, are left out; an empty
+    table gives an empty result."""
+    points = points.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
     cells = points.select(F.col(i).alias("_r"), F.posexplode(F.col(vec).cast("array<double>")).alias("k", "x"))
     n = points.count()
     means = cells.groupBy("k").agg(F.avg("x").alias("m"))
@@ -39,19 +41,23 @@ def pca(points: DataFrame, k: int, vec: str = "vec") -> DataFrame:
 
 
 def ridge(df: DataFrame, xs: list[str], y: str, penalty: float) -> DataFrame:
-    """name, coefficient: with an intercept, which is not penalised."""
+    """name, coefficient: with an intercept, which is not penalised. Rows with a null are left out; no rows: zeros."""
     import numpy as np
 
     g = gram(df.withColumn("_one", F.lit(1.0)), ["_one", *xs, y])
+    if not g[0, 0]:
+        return df.sparkSession.createDataFrame([(n, 0.0) for n in ["intercept", *xs]], "name string, coefficient double")
     a = g[:-1, :-1] + penalty * np.diag([0.0] + [1.0] * len(xs))
     beta = np.linalg.solve(a, g[:-1, -1])
     return df.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(["intercept", *xs], beta)], "name string, coefficient double")
 
 
 def lasso(df: DataFrame, xs: list[str], y: str, penalty: float, rounds: int = 1000) -> DataFrame:
-    """Coordinate descent on sums of products, without an intercept; the loss is half the sum of squares over n."""
+    """Coordinate descent on sums of products, without an intercept; the loss is half the sum of squares over n. Rows with a
+    null are left out; no rows: zeros."""
     import numpy as np
 
+    df = df.dropna(subset=[*xs, y])
     n = max(df.count(), 1)
     g = gram(df, [*xs, y]) / n
     beta = np.zeros(len(xs))

@@ -140,9 +140,12 @@ def linear_regression(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame
 
 
 def gram(df: DataFrame, columns: list[str]):
-    """All sums of products of two columns, as a symmetric numpy array: one aggregate over the rows."""
+    """All sums of products of two columns, as a symmetric numpy array: one aggregate over the rows without a null in any
+    of the columns, so that all sums are over the same rows."""
     import numpy as np
 
+    df = df.dropna(subset=list(dict.fromkeys(columns)))
+
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     row = df.agg(*(F.sum(F.col(a).cast("double") * F.col(b)).alias(f"s{k}") for k, (a, b) in enumerate(pairs))).first()
     out = np.zeros((len(columns), len(columns)))

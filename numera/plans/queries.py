@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extended, more, statistics, structures, yet_more  # noqa: F401  they register their queries
+from . import extended, more, special_functions, statistics, structures, yet_more  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

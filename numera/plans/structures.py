@@ -188,10 +188,10 @@ def formula_columns(spark, d):
     return p.select("p_partkey", formula("x*sin(n) + n^2/3 - ln(x)", ["x", "n"]).alias("f"))
 
 
-@query("doc_id digest md n_bytes b64", "", "SELECT doc_id, sha256(text) AS digest, md5(text) AS md, strlen(text) AS n_bytes, base64(encode(text[1:30])) AS b64 FROM documents")
+@query("doc_id digest md n_bytes b64", "", "SELECT doc_id, sha256(text) AS digest, md5(text) AS md, strlen(text) AS n_bytes, base64(encode(text)) AS b64 FROM documents")
 def crypto_digests(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.md5(t).alias("md"), F.octet_length(t).cast("long").alias("n_bytes"), F.base64(F.substring(t, 1, 30).cast("binary")).alias("b64"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.md5(t).alias("md"), F.octet_length(t).cast("long").alias("n_bytes"), F.translate(F.base64(t.cast("binary")), "\r\n", "").alias("b64"))
 
 
 @query("doc_id b64", "", "SELECT doc_id, base64(encode(text)) AS b64 FROM documents")

@@ -98,3 +98,18 @@ def test_formula(spark):
     for bad in ("nosuch(1)", "= 3", "x.y", "__import__('os')", "y"):
         with pytest.raises(FormulaError):
             formula(bad, ["x"])
+
+
+def test_incomplete_rows_are_left_out(spark):
+    from numera.operators import ml, models, stats
+
+    kind = "id long, vec array<double>"
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 5.0]), (3, None), (4, [None, 1.0])], kind)
+    assert {(r["i"], r["j"]): r["v"] for r in models.covariance(rows).collect()} == {(0, 0): 2.0, (0, 1): 3.0, (1, 0): 3.0, (1, 1): 4.5}
+    assert {r["id"]: r["cluster"] for r in ml.kmeans(rows, 2).collect()} == {1: 0, 2: 1}
+    assert ml.kmeans(rows.limit(0), 2).count() == 0 and models.covariance(rows.limit(0)).count() == 0
+    flat = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (3.0, 7.0), (None, 100.0), (9.0, None)], "x double, y double")
+    fit = {r["name"]: round(r["coefficient"], 9) for r in models.ridge(flat, ["x"], "y", 0.0).collect()}
+    assert fit == {"intercept": 1.0, "x": 2.0}
+    assert {r["coefficient"] for r in models.ridge(flat.limit(0), ["x"], "y", 1.0).collect()} == {0.0}
+    assert stats.gram(flat, ["x", "y"])[1, 1] == 83.0
