@@ -58,3 +58,39 @@ def sqrt(a: Column) -> Column:
 
 def power(a: Column, p: float) -> Column:
     return polar(F.pow(modulus(a), F.lit(p)), arg(a) * p)
+
+
+def moebius(a: Column, b: Column, c: Column, d: Column, z: Column) -> Column:
+    """(a z + b) / (c z + d), all complex."""
+    return div(add(mul(a, z), b), add(mul(c, z), d))
+
+
+def cross_ratio_of(z1: Column, z2: Column, z3: Column, z4: Column) -> Column:
+    """(z1 - z3)(z2 - z4) / ((z1 - z4)(z2 - z3)), as a complex number."""
+    return div(mul(sub(z1, z3), sub(z2, z4)), mul(sub(z1, z4), sub(z2, z3)))
+
+
+def joukowski(z: Column, c: float = 1.0) -> Column:
+    return add(z, div(make(F.lit(c * c), F.lit(0.0)), z))
+
+
+def poisson_kernel(theta: Column, phi: Column, r: Column) -> Column:
+    return (1 - r * r) / (1 - 2 * r * F.cos(theta - phi) + r * r)
+
+
+def hyperbolic_distance(a: Column, b: Column) -> Column:
+    """In the unit disk."""
+    return 2 * F.atanh(modulus(sub(a, b)) / modulus(sub(make(F.lit(1.0), F.lit(0.0)), mul(a, conj(b)))))
+
+
+def green_function_disk(z: Column, at: Column, radius: float = 1.0) -> Column:
+    """0 outside of the disk, minus infinity at its pole."""
+    w, w0 = make(z["re"] / radius, z["im"] / radius), make(at["re"] / radius, at["im"] / radius)
+    apart = modulus(sub(w, w0))
+    inside = F.ln(apart / modulus(sub(make(F.lit(1.0), F.lit(0.0)), mul(conj(w0), w)))) / (2 * 3.141592653589793)
+    return F.when((modulus(w) >= 1) | (modulus(w0) >= 1), F.lit(0.0)).when(apart < 1e-15, F.lit(float("-inf"))).otherwise(inside)
+
+
+def power_series(coefficients: Column, z: Column) -> Column:
+    """Of an array of real coefficients, lowest first, by Horner's rule."""
+    return F.aggregate(F.reverse(coefficients), make(F.lit(0.0), F.lit(0.0)), lambda s, c: make(s["re"] * z["re"] - s["im"] * z["im"] + c, s["re"] * z["im"] + s["im"] * z["re"]))
