@@ -7,14 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+from .running import checkpointed
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -46,7 +39,7 @@ def bfs(edges: DataFrame, source: int, max_depth: int | None = None) -> DataFram
     front = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = _checkpointed(new.withColumn("depth", F.lit(depth)))
+        front = checkpointed(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -58,13 +51,13 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     together by less than tolerance, or after so many rounds."""
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
-    links = _checkpointed(edges.select("src", "dst").join(out, "src"))
-    ids = _checkpointed(ids)
+    links = checkpointed(edges.select("src", "dst").join(out, "src"))
+    ids = checkpointed(ids)
     n = ids.count()
     ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         given = links.join(ranks, links["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        step = _checkpointed(ranks.join(given, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
+        step = checkpointed(ranks.join(given, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
         ranks = step.select("id", "rank")
         if (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
@@ -73,13 +66,13 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id): labels spread along edges and jump to their label's label."""
-    e = _checkpointed(undirected(edges))
-    labels = _checkpointed(e.groupBy(F.col("src").alias("id")).agg(F.least("id", F.min("dst")).alias("component")))
+    e = checkpointed(undirected(edges))
+    labels = checkpointed(e.groupBy(F.col("src").alias("id")).agg(F.least("id", F.min("dst")).alias("component")))
     while True:
         near = e.join(labels, e["dst"] == labels["id"]).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("c"))
         step = labels.join(near, "id").select("id", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = _checkpointed(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
+        step = checkpointed(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
         if step.where("component <> old").isEmpty():
             return step.select("id", "component")
         labels = step.select("id", "component")
@@ -87,10 +80,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
     """Edges (both ways) among vertices that all have at least k neighbours left."""
-    e = _checkpointed(undirected(edges))
+    e = checkpointed(undirected(edges))
     while True:
         ok = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
-        kept = _checkpointed(e.join(ok, "src", "left_semi").join(ok.withColumnRenamed("src", "dst"), "dst", "left_semi"))
+        kept = checkpointed(e.join(ok, "src", "left_semi").join(ok.withColumnRenamed("src", "dst"), "dst", "left_semi"))
         if kept.count() == e.count():
             return kept
         e = kept
@@ -103,10 +96,10 @@ def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 100) -> Data
     front = best
     for _ in range(max_rounds):
         seen = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
-        front = _checkpointed(seen.join(best, "id", "left").where(F.col("dist").isNull() | (F.col("d") < F.col("dist"))).select("id", F.col("d").alias("dist")))
+        front = checkpointed(seen.join(best, "id", "left").where(F.col("dist").isNull() | (F.col("d") < F.col("dist"))).select("id", F.col("d").alias("dist")))
         if front.isEmpty():
             break
-        best = _checkpointed(best.join(front, "id", "left_anti").unionByName(front))
+        best = checkpointed(best.join(front, "id", "left_anti").unionByName(front))
     return best
 
 

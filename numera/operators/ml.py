@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def confusion(df: DataFrame, p: str, y: str, limit: float = 0.5) -> DataFrame:
     """tp, fp, fn, tn, accuracy, precision, recall, f1."""
@@ -18,10 +20,10 @@ def confusion(df: DataFrame, p: str, y: str, limit: float = 0.5) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, p: str, y: str) -> DataFrame:
-    """Area under the ROC curve; equal scores count half. From counts by score: rows are not sorted."""
-    by = df.groupBy(p).agg(F.count_if(F.col(y) >= 0.5).alias("a"), F.count_if(F.col(y) < 0.5).alias("b"))
-    below = F.coalesce(F.sum("b").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = by.select("a", "b", (F.col("a") * (below + F.col("b") / 2)).alias("u"))
+    """Area under the ROC curve; equal scores count half. From counts by score, ranged: rows are not sorted. Rows with a null are left out."""
+    by = df.dropna(subset=[p, y]).groupBy(p).agg(F.count_if(F.col(y) >= 0.5).alias("a"), F.count_if(F.col(y) < 0.5).alias("b"))
+    by = running_sums(by, [], [F.col(p)], {"upto": "b"})
+    won = by.select("a", "b", (F.col("a") * (F.col("upto") - F.col("b") / 2)).alias("u"))
     return won.agg((F.sum("u") / F.nullif((F.sum("a") * F.sum("b")).cast("double"), F.lit(0.0))).alias("auc"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
 from .stats import gram
 
 
@@ -99,12 +100,9 @@ def losses(df: DataFrame, p: str, y: str, delta: float = 1.0) -> DataFrame:
 
 
 def average_precision(df: DataFrame, p: str, y: str) -> DataFrame:
-    """Mean precision at each step of recall, from counts by score."""
-    from pyspark.sql import Window as W
-
-    by = df.groupBy(p).agg(F.count_if(F.col(y) >= 0.5).alias("a"), F.count("*").alias("n"))
-    so_far = W.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-    steps = by.select("a", (F.sum("a").over(so_far) / F.sum("n").over(so_far)).alias("precision"))
+    """Mean precision at each step of recall, from counts by score, ranged. Rows with a null are left out."""
+    by = df.dropna(subset=[p, y]).groupBy(p).agg(F.count_if(F.col(y) >= 0.5).alias("a"), F.count("*").alias("n"))
+    steps = running_sums(by, [], [F.desc(p)], {"hits": "a", "all": "n"}).select("a", (F.col("hits") / F.col("all")).alias("precision"))
     return steps.agg((F.sum(F.col("a") * F.col("precision")) / F.nullif(F.sum("a").cast("double"), F.lit(0.0))).alias("average_precision"))
 
 

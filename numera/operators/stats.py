@@ -5,19 +5,26 @@ x, g and so on are column names; by is a list of grouping columns. Nulls in the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import descriptive as D
+from .running import running_sums
 
 
 def _ranked(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """Rows with _rn (from 1) in ascending order and _n of their group. Ranks come from value counts, so that a value
     that many rows share costs one row, and no row is collected."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*by).orderBy(x)
-    return counts.withColumn("_hi", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
+    sums = running_sums(counts, by, [F.col(x)], {"_hi": "_c"})
+    groups = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    if not by:
+        return sums.crossJoin(F.broadcast(groups))  # one row
+    same = reduce(lambda a, b: a & b, [sums[c].eqNullSafe(groups[c]) for c in by])
+    return sums.join(groups, same).select(sums["*"], "_n")
 
 
 def percentiles(df: DataFrame, x: str, by: list[str], ps: list[float]) -> DataFrame:
@@ -50,17 +57,20 @@ def mad(df: DataFrame, x: str, by: list[str], scale: float = 1.4826) -> DataFram
 
 
 def average_ranks(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
-    """df with _rank (equal values share their mean rank) and _ties (rows of equal value)."""
+    """df with _rank (equal values share their mean rank) and _ties (rows of equal value). Rows with a null in x or a group
+    are left out."""
     by = by or []
-    counts = df.groupBy(*by, x).agg(F.count("*").alias("_ties"))
-    w = W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, 0)
-    ranks = counts.withColumn("_rank", F.sum("_ties").over(w) - (F.col("_ties") - 1) / 2)
+    counts = df.dropna(subset=[*by, x]).groupBy(*by, x).agg(F.count("*").alias("_ties"))
+    ranks = running_sums(counts, by, [F.col(x)], {"_upto": "_ties"}).withColumn("_rank", F.col("_upto") - (F.col("_ties") - 1) / 2).drop("_upto")
     return df.join(ranks, [*by, x])
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """From ordinal ranks; equal values are ordered by key."""
-    r = df.select((F.row_number().over(W.orderBy(x, key)) - F.row_number().over(W.orderBy(y, key))).alias("d"))
+    """From ordinal ranks; equal values are ordered by key, which tells rows apart. Rows with a null in x or y are left out."""
+    r = df.dropna(subset=[x, y]).select(x, y, key, F.lit(1).cast("long").alias("_one"))
+    for c, rank in ((x, "_rx"), (y, "_ry")):
+        r = running_sums(r, [], [F.col(c), F.col(key)], {rank: "_one"})
+    r = r.select((F.col("_rx") - F.col("_ry")).alias("d"))
     n = F.count("*")
     return r.agg((1 - 6 * F.sum(F.col("d").cast("double") * F.col("d")) / (n.cast("double") * (n * n - 1))).alias("spearman"))
 

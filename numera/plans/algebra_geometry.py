@@ -50,7 +50,7 @@ def poly_algebra_more(spark, d):
 
 @query("p_partkey box circle", "dl ds mx my vol cr hc", f"""SELECT p_partkey, x - 0.2 <= 1 AND x + 0.2 >= 0 AND y - 0.2 <= 1 AND y + 0.2 >= 0 AS box, pow(x - 0.5, 2) + pow(y - 0.5, 2) <= 0.36 AS circle, abs(y - x) / sqrt(2) AS dl,
  CASE WHEN x + y <= 0 THEN sqrt(x * x + y * y) WHEN x + y >= 2 THEN sqrt(pow(x - 1, 2) + pow(y - 1, 2)) ELSE abs(y - x) / sqrt(2) END AS ds, CASE WHEN abs(x + y) <= 2 AND abs(x - y) <= 2 THEN (x + y) / 2 END AS mx, CASE WHEN abs(x + y) <= 2 AND abs(x - y) <= 2 THEN (x + y) / 2 END AS my, a / 6 AS vol,
- x + (y - x) * t + 0.5 * (a + x - 2 * y) * t * t * (t - 1) AS cr, x + a * t + (3 * (y - x) - 2 * a - 1) * t * t + (2 * (x - y) + a + 1) * pow(t, 3) AS hc FROM (SELECT *, a / 6 AS t FROM {P})""")
+ x + (y - x) * t + 0.5 * (a + x - 2 * y) * t * t * (t - 1) AS cr, x + a * t + (3 * (y - x) - 2 * a - 1) * t * t + (2 * (x - y) + a + 1) * pow(t, 3) AS hc FROM (SELECT *, a / 6 AS t FROM {P})""", 10)
 def geo_distances(spark, d):
     a, x, y, o, i = F.col("a"), F.col("x"), F.col("y"), LIT(0.0), LIT(1.0)
     met = geo.segments_meet(x - 2, y + 2, x + 2, y - 2, LIT(-1.0), LIT(-1.0), i, i)

@@ -113,3 +113,26 @@ def test_incomplete_rows_are_left_out(spark):
     assert fit == {"intercept": 1.0, "x": 2.0}
     assert {r["coefficient"] for r in models.ridge(flat.limit(0), ["x"], "y", 1.0).collect()} == {0.0}
     assert stats.gram(flat, ["x", "y"])[1, 1] == 83.0
+
+
+def test_running_sums_over_ranges(spark):
+    import random
+
+    from numera.operators import ml, stats
+    from numera.operators.running import running_sums
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(g, x, rng.randrange(5)) for g in ("a", "b", None) for x in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "g string, x int, n long")
+    got = {(r["g"], r["x"]): r["t"] for r in running_sums(df, ["g"], [F.col("x")], {"t": "n"}).collect()}
+    assert got == {(g, x): sum(m for h, y, m in rows if h == g and y <= x) for g, x, _ in rows}
+    assert running_sums(df.limit(0), [], [F.col("x")], {"t": "n"}).count() == 0
+    # ties, nulls, and one value on a third of the rows
+    scores = spark.createDataFrame([(0.5, 1.0)] * 20 + [(0.5, 0.0)] * 10 + [(i / 60, float(i % 2)) for i in range(60)] + [(None, 1.0), (0.1, None)], "p double, y double")
+    pairs = [(a, b) for a, y in [(r["p"], r["y"]) for r in scores.dropna().collect()] if y == 1 for b, z in [(r["p"], r["y"]) for r in scores.dropna().collect()] if z == 0]
+    want = sum(1 if a > b else 0.5 if a == b else 0 for a, b in pairs) / len(pairs)
+    assert abs(ml.roc_auc(scores, "p", "y").first()[0] - want) < 1e-12
+    ranks = {r["p"]: r["_rank"] for r in stats.average_ranks(scores, "p").collect()}
+    values = sorted(r["p"] for r in scores.collect() if r["p"] is not None)
+    assert all(ranks[v] == sum(u < v for u in values) + (values.count(v) + 1) / 2 for v in ranks) and None not in ranks
