@@ -35,6 +35,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, source: int, max_depth: int | None = None) -> DataFrame:
     """id, depth of all vertices that source reaches, or reaches in max_depth steps."""
     spark = edges.sparkSession
+    edges = checkpointed(edges)  # what they are made of is not made again in each round
     seen = spark.createDataFrame([(source, 0)], "id long, depth int")
     front = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
