@@ -28,8 +28,6 @@ PROBE_COST = 2.0
 BUCKET, SHARED = 64, 4
 #: Keys up to this number are broadcast.
 BROADCAST_KEYS = 1_000_000
-#: Nodes under a hot key are first compared to one of so many, chosen by the key.
-PIVOTS = 3
 #: Of first_of_each_group(): bits in which fingerprints over single words may differ, and the shingles of the exact check.
 WORD_DISTANCE, VERIFY_SHINGLE = 8, 5
 
@@ -209,8 +207,12 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
         return links
 
     met = materialize(keyed.join(few, "key"), "met")
-    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS))).alias("h"), "node", "fp")
-    pivots = met.where("own").groupBy("key").agg(F.min(order).alias("b")).select("key", F.col("b.node").alias("b_node"), F.col("b.fp").alias("b_fp"), F.lit(True).alias("b_own"))
+    # the one that is nearest to the majority of a key's bits: where copies were each changed on their own, the original
+    ones = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"_{i}") for i in range(BITS)]
+    middle = met.groupBy("key").agg(F.count("*").alias("_n"), *ones)
+    middle = middle.select("key", sum((F.when(2 * F.col(f"_{i}") > F.col("_n"), F.lit(_mask([i]))).otherwise(0) for i in range(1, BITS)), F.when(2 * F.col("_0") > F.col("_n"), F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("middle"))
+    order = F.struct(F.expr("bit_count(fp ^ middle)").alias("far"), F.xxhash64("node").alias("h"), "node", "fp")
+    pivots = met.where("own").join(F.broadcast(middle) if n_hot <= BROADCAST_KEYS else middle, "key").groupBy("key").agg(F.min(order).alias("b")).select("key", F.col("b.node").alias("b_node"), F.col("b.fp").alias("b_fp"), F.lit(True).alias("b_own"))
     pivots = F.broadcast(pivots) if n_hot <= BROADCAST_KEYS else pivots
     first = as_(met, "a").join(pivots, "key").where("a_node <> b_node").where(close)
     first = materialize(first.select(*_pair("a_node", "b_node")).distinct(), "pairs")
@@ -223,9 +225,11 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     met = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key")
     piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
     split = met.select("key", "node", "fp", "own", "root", "main", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).alias("piece", "value"))
-    split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("piece", "value")
+    split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value")
+    # a pair is made in the first piece in which it agrees
+    once = " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
     apart = as_(split.where("root <> main"), "a")
-    more = apart.join(as_(split, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close)
+    more = apart.join(as_(split, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close).where(once)
     more = materialize(more.select(*_pair("a_node", "b_node")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
     return links if more.isEmpty() else links.unionByName(materialize(verify(more), "links"))
 

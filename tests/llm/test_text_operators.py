@@ -364,14 +364,6 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert all(math.isclose(one[i], eight[i], rel_tol=1e-4) for i in one)
 
 
-def test_unlabelled_rows_count():
-    """Voter 2 never fires on a labelled row; it is learnt through the votes that it agrees with."""
-    counts = [(0b011, 1, 40), (0b000, 0, 400), (0b000, None, 4000), (0b111, None, 300), (0b100, None, 20)]
-    post = toxicity.label_model(counts)
-    assert post[(0b111, None)] > 0.9 > 0.3 > post[(0b000, None)] and post[(0b100, None)] > 10 * post[(0b000, None)]
-    assert post[(0b011, 1)] > 0.95 and post[(0b000, 0)] < 0.05
-
-
 def test_a_host_decides_on_repeated_lines(spark):
     lines = lambda i: "\n".join(x for k in range(5) for x in (prose(100 * i + k, 12), "read on"))
     rows = [(i, lines(i) if i % 2 else prose(i, 60), "loud") for i in range(40)] + [(100 + i, lines(i) if i == 1 else prose(i, 60), "calm") for i in range(40)] + [(200, lines(3), None)]
