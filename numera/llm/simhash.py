@@ -28,6 +28,10 @@ PROBE_COST = 2.0
 BUCKET, SHARED = 64, 4
 #: Keys up to this number are broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Of a text's set of shingles, bits that tell whether an odd number of them falls there.
+SKETCH = 1024
+#: Sketches of texts up to this number (some 150 bytes each) are broadcast.
+BROADCAST_SKETCHES = 200_000
 #: Of first_of_each_group(): bits in which fingerprints over single words may differ, and the shingles of the exact check.
 WORD_DISTANCE, VERIFY_SHINGLE = 8, 5
 
@@ -152,13 +156,13 @@ def _mask(bits: list[int]) -> int:
 
 
 def _near_values(part: int, value: Column, flips: list[int], own: int) -> Column:
-    """Array of (key, own) of the partition's values that the flips make of value; the first ones are own."""
-    key = lambda f, i: F.struct(F.xxhash64(F.lit(part), value.bitwiseXOR(f)).alias("key"), (i < own).alias("own"))
+    """Array of (key, own, part) of the partition's values that the flips make of value; the first ones are own."""
+    key = lambda f, i: F.struct(F.xxhash64(F.lit(part), value.bitwiseXOR(f)).alias("key"), (i < own).alias("own"), F.lit(part).alias("part"))
     return F.transform(F.expr(f"array({', '.join(f'bigint({f})' for f in flips)})"), key)
 
 
 def _probes(parts: list[tuple[list[int], int]]) -> Column:
-    """Array of (key, own) of a fingerprint fp: the values within half of each partition's threshold, rounded up; own
+    """Array of (key, own, part) of a fingerprint fp: the values within half of each partition's threshold, rounded up; own
     are those within half of it rounded down. Two fingerprints within the threshold meet under a key that one of them owns."""
     return F.concat(*(_near_values(k, F.col("fp").bitwiseAND(F.lit(_mask(bits))), _ball(bits, (t + 1) // 2), len(_ball(bits, t // 2))) for k, (bits, t) in enumerate(parts)))
 
@@ -174,6 +178,11 @@ def _hot_keys(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
     return around.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET).select("key")
 
 
+def _first_part(parts: list[tuple[list[int], int]]) -> str:
+    """Whether a_part is the first partition in which the fingerprints a_fp and b_fp are within its threshold."""
+    return " AND ".join(f"(a_part <= {k} OR bit_count((a_fp ^ b_fp) & {_mask(bits)}L) > {t})" for k, (bits, t) in enumerate(parts))
+
+
 def _pair(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
@@ -184,24 +193,25 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
 
     Under a key of few nodes, all are compared. Under others, all are first compared to one of them; then those that are
     not of the component that most of the key's nodes have got are compared to the rest, where they also agree in one of
-    distance + 1 pieces of the bits outside the partition. So a group of near copies costs about a comparison a node and
+    distance + 1 pieces of the bits. A pair is made in the first partition and piece in which it meets. So a group of near copies costs about a comparison a node and
     key, not one a pair, and nothing is left out.
     """
     verify = verify or (lambda pairs: pairs)
     total = nodes.count()
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp"), "node").limit(SAMPLE).select("fp").collect()]
     parts = choose_partitions(sample, total, distance)
-    keyed = nodes.select("node", "fp", F.explode(_probes(parts)).alias("x")).select("node", "fp", "x.key", "x.own")
+    keyed = nodes.select("node", "fp", F.explode(_probes(parts)).alias("x")).select("node", "fp", "x.*")
     as_ = lambda df, a: df.select("key", *(F.col(c).alias(f"{a}_{c}") for c in df.columns if c != "key"))
     close = F.expr(f"(a_own OR b_own) AND bit_count(a_fp ^ b_fp) <= {distance}")
 
+    once = _first_part(parts)
     hot = materialize(_hot_keys(nodes, parts), "hot-keys")
     n_hot = hot.count()
     cold = keyed
     if n_hot:
         few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
         cold = keyed.join(few, "key", "left_anti")
-    pairs = as_(cold, "a").join(as_(cold, "b"), "key").where("a_node < b_node").where(close)
+    pairs = as_(cold, "a").join(as_(cold, "b"), "key").where("a_node < b_node").where(close).where(once)
     links = materialize(verify(materialize(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct(), "pairs")), "links")
     if not n_hot:
         return links
@@ -224,10 +234,9 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     main = met.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     met = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key")
     piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
-    split = met.select("key", "node", "fp", "own", "root", "main", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).alias("piece", "value"))
+    split = met.select("key", "node", "fp", "own", "root", "main", "part", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).alias("piece", "value"))
     split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value")
-    # a pair is made in the first piece in which it agrees
-    once = " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
+    once += " AND " + " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
     apart = as_(split.where("root <> main"), "a")
     more = apart.join(as_(split, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close).where(once)
     more = materialize(more.select(*_pair("a_node", "b_node")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
@@ -261,6 +270,22 @@ def shingles(text: bytes, shingle: int = VERIFY_SHINGLE):
     return np.unique(np.concatenate([np.zeros(0, np.int64), *(h.view("<i8") for h in _shingle_hashes(text.lower().split(), shingle))]))
 
 
+def sketch(hashes) -> bytes:
+    """SKETCH bits of a set of hashes. Two sketches differ in no more bits than the sets do in members."""
+    import numpy as np
+
+    return np.packbits(np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1).tobytes()
+
+
+def may_be_similar(x: str, y: str) -> Column:
+    """Whether sets can have a Jaccard similarity of 0.8, by their sizes and sketches (columns x_n, x_sketch, ...).
+
+    At 0.8 they differ in a ninth of their sizes' sum at most, and so do the sketches: no such pair is left out.
+    """
+    differ = " + ".join(f"bit_count({x}_sketch[{k}] ^ {y}_sketch[{k}])" for k in range(SKETCH // 64))
+    return F.expr(f"9 * abs({x}_n - {y}_n) <= {x}_n + {y}_n AND 9 * ({differ}) <= {x}_n + {y}_n")
+
+
 def _sets(it):
     import numpy as np
     import pyarrow as pa
@@ -268,7 +293,10 @@ def _sets(it):
     for b in it:
         made = [shingles(t) for t in b.column(1).to_pylist()]
         flat = np.concatenate([*made, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat, pa.int64()))], ["node", "hashes"])
+        hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat, pa.int64()))
+        bits = np.frombuffer(b"".join(map(sketch, made)), "<i8")
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * (SKETCH // 64), pa.int32()), pa.array(bits, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), hashes, pa.array(map(len, made), pa.int64()), bits], ["node", "hashes", "n", "sketch"])
 
 
 def _names(shingle: int):
@@ -322,8 +350,12 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if wanted.count() <= BROADCAST_KEYS:
             wanted = F.broadcast(wanted)
         some = texts.join(wanted, ["_r1", "_r2"]).select("node", "_text")
-        sets = some.mapInArrow(_sets, "node long, hashes array<long>").groupBy("node").agg(F.any_value("hashes").alias("hashes"))  # equal rows are one
-        sets = materialize(sets, "sets")
+        sets = some.mapInArrow(_sets, "node long, hashes array<long>, n long, sketch array<long>").groupBy("node")
+        sets = materialize(sets.agg(*(F.any_value(c).alias(c) for c in ("hashes", "n", "sketch"))), "sets")  # equal rows are one
+        small = F.broadcast if sets.count() <= BROADCAST_SKETCHES else lambda df: df
+        for side in ("u", "v"):
+            pairs = pairs.join(small(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))), side)
+        pairs = materialize(pairs.where(may_be_similar("u", "v")).select("u", "v"), "likely")
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
         return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("u", "v")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,21 @@ def test_first_of_each_group(spark, monkeypatch, bucket, shared):
 def test_equal_rows_are_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f", None), (1, "a b c d e f", None), (1, None, "a b c d e f"), (2, "a b c d e f", None)], "doc_id long, text string, lang string")
     assert sorted(map(str, simhash.first_of_each_group(df).collect())) == sorted(map(str, df.where("doc_id = 1").distinct().collect()))
+
+
+def test_sketches_leave_out_no_similar_sets(spark):
+    rng = np.random.default_rng(5)
+    rows, similar = [], []
+    for k in range(400):
+        n = int(rng.integers(0, 900))
+        x = rng.integers(-(2**62), 2**62, n)
+        y = np.unique(np.where(rng.random(n) < rng.random() * 0.2, rng.integers(-(2**62), 2**62, n), x))[: n - int(rng.integers(0, n // 8 + 1))]
+        x = np.unique(x)
+        longs = lambda h: np.frombuffer(simhash.sketch(h), "<i8").tolist()
+        rows.append((k, len(x), longs(x), len(y), longs(y)))
+        both = len(np.intersect1d(x, y))
+        similar.append(9 * both >= 4 * (len(x) + len(y)))
+    df = spark.createDataFrame(rows, "k long, x_n long, x_sketch array<long>, y_n long, y_sketch array<long>")
+    kept = {r[0] for r in df.where(simhash.may_be_similar("x", "y")).select("k").collect()}
+    assert 20 < sum(similar) < 380 and all(k in kept for k, s in enumerate(similar) if s)
+    assert len(kept) < 1.3 * sum(similar)
