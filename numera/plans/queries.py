@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import algebra_geometry, extended, more, special_functions, statistics, structures, yet_more  # noqa: F401  they register their queries
+from . import algebra_geometry, extended, more, special_functions, statistics, structures, transforms, yet_more  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
