@@ -137,7 +137,8 @@ def goertzel(s: DataFrame, frequency: float, rate: float, by: list[str] | None =
 
 def _basis(rows: list[list[float]], x: Column) -> Column:
     table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in r) + ")" for r in rows) + ")")
-    return F.transform(table, lambda r: F.aggregate(F.zip_with(r, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    # x is bound first, else it would be worked out again for each row of the basis
+    return F.transform(F.array(x), lambda y: F.transform(table, lambda r: F.aggregate(F.zip_with(r, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))[0]
 
 
 def dct2(x: Column, n: int) -> Column:

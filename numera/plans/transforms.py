@@ -53,7 +53,7 @@ def fft_matrix(spark, d):
 def dct_dst(spark, d):
     x = F.transform("embedding", lambda v: v.cast("double"))
     both = table(spark, d, "embeddings").select("vec_id", F.arrays_zip(transforms.dct2(x, 64).alias("c"), transforms.dst2(x, 64).alias("s")).alias("z"))
-    return both.select("vec_id", F.posexplode("z").alias("k", "z")).select("vec_id", "k", "z.c", "z.s")
+    return both.select("vec_id", F.posexplode("z").alias("k", "z")).select("vec_id", F.col("k").cast("long").alias("k"), "z.c", "z.s")
 
 
 @query("vec_id t", "v w", "SELECT vec_id, unnest(range(64)) AS t, unnest(embedding)::DOUBLE AS v, unnest(embedding)::DOUBLE AS w FROM embeddings", 5)
@@ -61,4 +61,4 @@ def dct_round_trips(spark, d):
     x = F.transform("embedding", lambda v: v.cast("double"))
     e = table(spark, d, "embeddings").select("vec_id", transforms.dct2(x, 64).alias("c"), transforms.dst2(x, 64).alias("s"))
     both = e.select("vec_id", F.arrays_zip(transforms.idct2(F.col("c"), 64).alias("v"), transforms.idst2(F.col("s"), 64).alias("w")).alias("z"))
-    return both.select("vec_id", F.posexplode("z").alias("t", "z")).select("vec_id", "t", "z.v", "z.w")
+    return both.select("vec_id", F.posexplode("z").alias("t", "z")).select("vec_id", F.col("t").cast("long").alias("t"), "z.v", "z.w")
