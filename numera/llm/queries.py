@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, packing, quality_rules, scoring, simhash, token_counts, toxicity, url_filter
+from . import chat, decontamination, licenses, packing, quality_classifier, quality_rules, scoring, simhash, spelling, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op12_quality_classifier": quality_classifier.op12_quality_classifier,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
