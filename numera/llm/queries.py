@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, packing, quality_classifier, quality_rules, scoring, simhash, spelling, token_counts, toxicity, url_filter
+from . import chat, collocations, decontamination, licenses, packing, quality_classifier, quality_rules, scoring, simhash, spelling, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_collocations": collocations.op11_collocations,
         "op12_quality_classifier": quality_classifier.op12_quality_classifier,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_tree": chat.OP4_SQL, "op7_host_quality": quality_rules.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op4_chat_tree": chat.OP4_SQL, "op7_host_quality": quality_rules.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL, "op11_collocations": collocations.OP11_SQL}
