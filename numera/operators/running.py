@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,21 +11,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _folder(df: DataFrame) -> str:
+    """The checkpoint folder. On a cluster that has to be one that all machines share, so it is never made up there."""
+    spark = df.sparkSession
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder. On a cluster that has to be one that all machines share, so it is never made up there."""
+    """df, written to the checkpoint folder, with the partitioning it has."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_folder(df))
     return df.checkpoint()
 
 
+_written: list = []
+
+
+def _drop() -> None:
+    for spark, path in _written:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: the folder's owner clears it
+            return
+
+
+atexit.register(_drop)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a table in the checkpoint folder and read back. Unlike after a checkpoint nothing is known of the
+    rows but their columns: what the optimizer infers of them would grow from round to round of a loop."""
+    path = f"{_folder(df)}/numera-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], before: str = "_range") -> DataFrame:
     """df with a running total of each column in sums (name of the total -> column), within the groups of by, over the rows
     up to and including this one in the order, which should leave no ties.
