@@ -28,7 +28,7 @@ WAVE = 16
 #: Bits of a bitmap: 16 for each phrase, between these powers of 2 (at most 32 MB).
 BITS_LEAST, BITS_MOST = 16, 28
 #: Code positions of a chunk, and those that a task puts together before it counts.
-CHUNK, HELD = 100_000, 3_000_000
+CHUNK, HELD = 100_000, 1_000_000
 
 _PHRASE = "lang string, phrase string"
 
@@ -174,7 +174,7 @@ def _tasks(it):
             ids, parts = open_ones[lang]
             own = np.fromiter(map(ids.__getitem__, [b".", *(words.split(b" ") if words else [])]), np.int32)
             parts.append(own[np.frombuffer(codes, "<i4")])
-            if sum(map(len, parts)) > HELD or len(ids) > HELD:
+            if sum(map(len, parts)) > HELD:
                 yield whole(lang)
     for lang in list(open_ones):
         yield whole(lang)
@@ -242,9 +242,10 @@ def _grown(m: int, shared):
                 pos = pos[known.has(h) | later.has(word_hash[w[pos + 1]])]
             _, at, n = np.unique(_ids(w, pos, m, len(words)), return_index=True, return_counts=True)
             phrases = _phrases(words, w, pos[at], m)
-            for k in range(0, len(n), 200_000):
-                some = phrases[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[k : k + 200_000].astype(np.int64))], ["lang", "phrase", "n"])
+            del pos, at
+            for k in range(0, len(n), 100_000):
+                some = phrases[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[k : k + 100_000].astype(np.int64))], ["lang", "phrase", "n"])
 
     return batches
 
