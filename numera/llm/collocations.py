@@ -28,7 +28,7 @@ WAVE = 16
 #: Bits of a bitmap: 16 for each phrase, between these powers of 2 (at most 32 MB).
 BITS_LEAST, BITS_MOST = 16, 28
 #: Code positions of a chunk, and those that a task puts together before it counts.
-CHUNK, HELD = 100_000, 1_000_000
+CHUNK, HELD = 50_000, 600_000
 
 _PHRASE = "lang string, phrase string"
 
@@ -153,6 +153,7 @@ def _tasks(it):
     from collections import defaultdict
 
     import numpy as np
+    import pyarrow as pa
 
     release()
     open_ones: dict = {}
@@ -165,15 +166,17 @@ def _tasks(it):
 
     def whole(lang):
         ids, parts = open_ones.pop(lang)
+        pa.default_memory_pool().release_unused()
         return lang, list(ids), np.concatenate(parts)
 
     for b in it:
-        for lang, words, codes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for lang, words, codes in zip(*b.columns, strict=True):  # Arrow's values: codes are not copied
+            lang, words = lang.as_py(), words.as_py()
             if lang not in open_ones:
                 open_ones[lang] = fresh()
             ids, parts = open_ones[lang]
             own = np.fromiter(map(ids.__getitem__, [b".", *(words.split(b" ") if words else [])]), np.int32)
-            parts.append(own[np.frombuffer(codes, "<i4")])
+            parts.append(own[np.frombuffer(codes.as_buffer(), "<i4")])
             if sum(map(len, parts)) > HELD:
                 yield whole(lang)
     for lang in list(open_ones):
@@ -201,11 +204,10 @@ def _ids(w, pos, m: int, size: int):
     return ids
 
 
-def _phrases(words, w, at, m: int):
+def _phrases(vocabulary, w, at, m: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    vocabulary = pa.array([x.decode("utf-8", "surrogatepass") for x in words], pa.large_string())
     return pc.binary_join_element_wise(*(vocabulary.take(pa.array(w[at + j])) for j in range(m)), pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
@@ -241,10 +243,11 @@ def _grown(m: int, shared):
                     h = _roll(h, word_hash[w[pos + j]])
                 pos = pos[known.has(h) | later.has(word_hash[w[pos + 1]])]
             _, at, n = np.unique(_ids(w, pos, m, len(words)), return_index=True, return_counts=True)
-            phrases = _phrases(words, w, pos[at], m)
-            del pos, at
+            pos = pos[at]
+            del at
+            vocabulary = pa.array([x.decode("utf-8", "surrogatepass") for x in words], pa.large_string())
             for k in range(0, len(n), 100_000):
-                some = phrases[k : k + 100_000]
+                some = _phrases(vocabulary, w, pos[k : k + 100_000], m)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[k : k + 100_000].astype(np.int64))], ["lang", "phrase", "n"])
 
     return batches
@@ -266,7 +269,7 @@ def _looked(shared):
             w = np.concatenate([np.where(usable[w], w, 0), [0]])
             pos = np.flatnonzero(w[:-1])
             h = word_hash[w[pos]]
-            text = pa.array(["", *(x.decode("utf-8", "surrogatepass") for x in words[1:])], pa.string())
+            text = pa.array(["", *(x.decode("utf-8", "surrogatepass") for x in words[1:])], pa.large_string())
             for m in range(2, LONGEST + 1):
                 # w ends with 0, so no phrase runs over its end
                 going = w[np.minimum(pos + m - 1, len(w) - 1)] != 0
@@ -282,8 +285,8 @@ def _looked(shared):
                 found = []
                 for beside in (w[hit - 1], w[hit + m]):
                     low, high = np.minimum.reduceat(beside[order], first), np.maximum.reduceat(beside[order], first)
-                    found.append(text.take(pa.array(np.where(low == high, low, 0))))
-                phrases = _phrases(words, w, hit[order[first]], m)
+                    found.append(text.take(pa.array(np.where(low == high, low, 0))).cast(pa.string()))
+                phrases = _phrases(text, w, hit[order[first]], m)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64)), *found], ["lang", "phrase", "n", "before", "after"])
 
     return batches
