@@ -28,7 +28,7 @@ WAVE = 16
 #: Bits of a bitmap: 16 for each phrase, between these powers of 2 (at most 32 MB).
 BITS_LEAST, BITS_MOST = 16, 28
 #: Code positions of a chunk, and those that a task puts together before it counts.
-CHUNK, HELD = 50_000, 600_000
+CHUNK, HELD = 10_000, 600_000
 
 _PHRASE = "lang string, phrase string"
 
@@ -49,6 +49,7 @@ def _chunks(it):
     """lang, words (joined by spaces), codes (little-endian 32-bit): 0 ends a piece, k stands for the k-th word."""
     from array import array
     from collections import defaultdict
+    from itertools import count
 
     import pyarrow as pa
 
@@ -57,8 +58,7 @@ def _chunks(it):
     open_ones: dict = {}
 
     def fresh():
-        ids: defaultdict = defaultdict()
-        ids.default_factory = ids.__len__
+        ids = defaultdict(count().__next__)
         ids[b"."]
         return ids, array("i", [0])
 
@@ -151,6 +151,7 @@ def bitmap(phrases: DataFrame, n: int) -> Bitmap:
 def _tasks(it):
     """(lang, words, codes) of what a task holds at a time: chunks of one language put together under common codes."""
     from collections import defaultdict
+    from itertools import count
 
     import numpy as np
     import pyarrow as pa
@@ -159,8 +160,7 @@ def _tasks(it):
     open_ones: dict = {}
 
     def fresh():
-        ids: defaultdict = defaultdict()
-        ids.default_factory = ids.__len__
+        ids = defaultdict(count().__next__)
         ids[b"."]
         return ids, [np.zeros(1, np.int32)]
 
