@@ -335,9 +335,10 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in all columns are one. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns(_row_hashes(docs))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    light = rows.select(F.col(id_col).alias("_id"), "_r1", "_r2", text.alias("_text"))
+    # packed, so that no name among its columns meets one of ours
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"), *(h.alias(c) for c, h in _row_hashes(docs).items()))
+    text = F.coalesce(F.col(f"_doc.`{text_col}`"), F.lit("")).cast("binary")
+    light = rows.select(F.col(f"_doc.`{id_col}`").alias("_id"), "_r1", "_r2", text.alias("_text"))
     named = light.mapInArrow(_names(1), f"_id {light.schema['_id'].dataType.simpleString()}, _r1 long, _r2 long, name1 long, name2 long, fp long")
     named = materialize(named, "names")
     best = named.groupBy("name1", "name2").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_r1", "_r2")).alias("first"), F.any_value("fp").alias("fp"))
@@ -370,9 +371,9 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = rows.join(bounded(gone), ["_r1", "_r2"], "left_anti")
     if not again.isEmpty():
         again = bounded(again)
-        once = out.join(again, ["_r1", "_r2"], "left_semi").groupBy("_r1", "_r2").agg(F.any_value(F.struct(*(f"`{c}`" for c in docs.columns))).alias("_doc"))
-        out = out.join(again, ["_r1", "_r2"], "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(once.select("_doc.*"))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+        once = out.join(again, ["_r1", "_r2"], "left_semi").groupBy("_r1", "_r2").agg(F.any_value("_doc").alias("_doc"))
+        out = out.join(again, ["_r1", "_r2"], "left_anti").select("_doc").unionByName(once.select("_doc"))
+    return out.select("_doc.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,13 @@ def test_sketches_leave_out_no_similar_sets(spark):
     kept = {r[0] for r in df.where(simhash.may_be_similar("x", "y")).select("k").collect()}
     assert 20 < sum(similar) < 380 and all(k in kept for k, s in enumerate(similar) if s)
     assert len(kept) < 1.3 * sum(similar)
+
+
+def test_columns_with_the_names_of_helpers_keep_their_values(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    names = ["_r1", "_r2", "_doc", "_id", "_text", "_kept", "fp", "name1", "n", "a.b"]
+    rows = [(1, text), (2, text), (2, text), (3, "another text of its own, much shorter")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"<{c}>") for c in names})
+    got = simhash.first_of_each_group(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(i, t, *(f"<{c}>" for c in names)) for i, t in (rows[0], rows[3])]
