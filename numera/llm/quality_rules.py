@@ -16,8 +16,9 @@ from .common import materialize, table, words
 RULES = ("short", "repeats", "symbols", "stutter", "dup_lines")
 #: A host goes if its shrunk rate of some rule is at least this.
 HOST_LIMIT = 0.8
-#: A document that fails this rule alone goes only if its host fails it more often than hosts do on average, by this factor.
-BY_HOST, ABOVE = "dup_lines", 1 + 1e-9
+#: A document that fails this rule alone goes only if its host surely fails it more often than hosts do on average: the
+#: posterior rate less this many posterior standard deviations is above the mean.
+BY_HOST, DEVIATIONS = "dup_lines", 2.0
 #: Rejected and suspect hosts up to this number are broadcast.
 BROADCAST_HOSTS = 100_000
 #: The prior weighs as many documents at most, and one at least.
@@ -79,7 +80,8 @@ def _failures() -> dict[str, Column]:
 
 
 def host_rates(judged: DataFrame, host: str) -> DataFrame:
-    """By host and rule: n, failed, rate (shrunk), mean (of all hosts). judged has the host and a boolean column for each of RULES."""
+    """By host and rule: n, failed, rate (shrunk: the mean of the host's posterior), deviation (the posterior's), mean (of all
+    hosts). A host of few documents keeps near the mean and has a wide posterior, whatever its own rate. judged has the host and a boolean column for each of RULES."""
     counts = judged.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), *(F.count_if(F.col(r)).alias(r) for r in RULES))
     long = counts.select(host, "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("failed")) for r in RULES))).alias("x")).select(host, "n", "x.rule", "x.failed")
     n, f = F.col("n").cast("double"), F.col("failed").cast("double")
@@ -91,7 +93,9 @@ def host_rates(judged: DataFrame, host: str) -> DataFrame:
     weight = F.when(between > 0, F.greatest(F.lit(1.0), F.least(F.lit(PRIOR_MOST), mean * (1 - mean) / between - 1))).otherwise(PRIOR_MOST)
     prior = sums.select("rule", mean.alias("_mean"), weight.alias("_weight"))
     # one row a rule: bounded by RULES
-    return long.join(F.broadcast(prior), "rule").withColumn("rate", (f + F.col("_mean") * F.col("_weight")) / (n + F.col("_weight"))).withColumnRenamed("_mean", "mean").drop("_weight")
+    shrunk = long.join(F.broadcast(prior), "rule").withColumn("rate", (f + F.col("_mean") * F.col("_weight")) / (n + F.col("_weight")))
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("rate") * (1 - F.col("rate"))) / (n + F.col("_weight") + 1))
+    return shrunk.withColumn("deviation", deviation).withColumnRenamed("_mean", "mean").drop("_weight")
 
 
 def host_quality(docs: DataFrame, carry: list[str], text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -99,7 +103,7 @@ def host_quality(docs: DataFrame, carry: list[str], text_col: str = "text", host
 
     kept is false for a document that fails a base rule (short, repeats), that fails the symbol or the stutter rule,
     whose host is rejected, or that repeats lines and has a host that is suspect: its shrunk rate of such documents is
-    above the mean of all hosts. A null text has no words; a null host is no host and never rejected; repeated rows are judged
+    above the mean of all hosts by more than DEVIATIONS posterior standard deviations. A null text has no words; a null host is no host and never rejected; repeated rows are judged
     as often as they occur. Columns of docs can have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -108,7 +112,7 @@ def host_quality(docs: DataFrame, carry: list[str], text_col: str = "text", host
     judged = rows.withColumns(measures(F.col("_text"))).drop("_w", "_text").withColumns(_failures())
     judged = materialize(judged, "quality")  # read twice: for the hosts, and for the documents
     rates = host_rates(judged, "_host").groupBy("_host")
-    verdicts = rates.agg((F.max("rate") >= host_limit).alias("host_rejected"), F.max((F.col("rule") == BY_HOST) & (F.col("rate") > F.col("mean") * ABOVE)).alias("host_suspect"))
+    verdicts = rates.agg((F.max("rate") >= host_limit).alias("host_rejected"), F.max((F.col("rule") == BY_HOST) & (F.col("rate") - DEVIATIONS * F.col("deviation") > F.col("mean"))).alias("host_suspect"))
     verdicts = materialize(verdicts.where("host_rejected OR host_suspect"), "hosts")
     if verdicts.count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
@@ -145,7 +149,8 @@ q_long AS (UNPIVOT (SELECT source, count(*)::DOUBLE AS n, count_if(short)::DOUBL
 q_sums AS (SELECT rule, sum(n) AS sn, sum(n * n) AS snn, sum(f) AS sf, sum(f * f / n) AS sff, count(*) AS h, sum(f) / sum(n) AS m FROM q_long GROUP BY rule),
 q_spread AS (SELECT rule, m, CASE WHEN sn - snn / sn > 0 THEN (sff - sn * m * m - (h - 1) * m * (1 - m)) / (sn - snn / sn) END AS b FROM q_sums),
 q_prior AS (SELECT rule, m, CASE WHEN b > 0 THEN greatest(1.0, least(1e6, m * (1 - m) / b - 1)) ELSE 1e6 END AS k FROM q_spread),
-q_hosts AS (SELECT source AS host, max((f + m * k) / (n + k)) >= 0.8 AS rejected, max(rule = 'dup_lines' AND (f + m * k) / (n + k) > m * (1 + 1e-9)) AS suspect FROM q_long JOIN q_prior USING (rule) GROUP BY source),
+q_hosts AS (SELECT source AS host, max((f + m * k) / (n + k)) >= 0.8 AS rejected, 
+  max(rule = 'dup_lines' AND (f + m * k) / (n + k) - 2 * sqrt(greatest(0, (f + m * k) / (n + k) * (1 - (f + m * k) / (n + k))) / (n + k + 1)) > m) AS suspect FROM q_long JOIN q_prior USING (rule) GROUP BY source),
 q_judged AS (SELECT *, short OR repeats AS base_failed, NOT (short OR repeats OR symbols OR stutter OR coalesce(source IN (SELECT host FROM q_hosts WHERE rejected), false) OR (dup_lines AND coalesce(source IN (SELECT host FROM q_hosts WHERE suspect), false))) AS kept FROM q_failed)
 """
 OP7_SQL = "WITH " + JUDGED_SQL.format(docs="documents") + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q_judged"
