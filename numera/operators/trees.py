@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import resampling
 from .running import written
 
 #: Bins of a feature. A feature with no more distinct values has one bin for each, and its cuts are those of an exact search.
@@ -42,7 +43,9 @@ class Trees:
 
     def values(self, x: Column, since: int = 0) -> Column:
         """Array of what each tree says of the features x (array of doubles)."""
-        return F.transform(self.literal(since), lambda t: F.get(t["value"], _walk(t, x, _depth(self.trees))))
+        depth = _depth(self.trees)
+        # x is bound once: inside the walk it would be put together again at each step
+        return F.transform(F.array(x), lambda v: F.transform(self.literal(since), lambda t: F.get(t["value"], _walk(t, v, depth))))[0]
 
 
 def _depth(trees: list[dict]) -> int:
@@ -78,8 +81,8 @@ def bin_edges(rows: DataFrame, p: int, bins: int = BINS) -> list[list[float]]:
     return edges
 
 
-def _binned(rows: DataFrame, p: int, bins: int) -> DataFrame:
-    """rows (x, y, h) with the bin of each feature, written once."""
+def _binned(rows: DataFrame, p: int, bins: int, resamples: int, seed: int) -> DataFrame:
+    """rows (x, y, h) with the bin of each feature and the weights in each resample (Poisson draws), written once."""
     edges = bin_edges(rows, p, bins)
 
     def batches(it):
@@ -91,9 +94,11 @@ def _binned(rows: DataFrame, p: int, bins: int) -> DataFrame:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
             found = np.stack([np.searchsorted(limits[k], x[:, k], side="left") for k in range(p)], 1).astype("i4")
             bins_ = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * p, pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, bins_], [*b.schema.names, "b"])
+            drawn = resampling.weights(b.column("h").to_numpy().view(np.uint64), resamples, seed).astype("i1")
+            weights = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * resamples, pa.int32()), pa.array(drawn.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], bins_, weights], ["x", "y", "b", "ws"])
 
-    return written(rows.mapInArrow(batches, "x array<double>, y double, h long, b array<int>"))
+    return written(rows.mapInArrow(batches, "x array<double>, y double, b array<int>, ws array<tinyint>"))
 
 
 def _statistics(classes: list[float] | None) -> dict[str, Column]:
@@ -111,18 +116,17 @@ def _spread(s: list[Column], classes: list[float] | None) -> tuple[Column, Colum
     return n, n - sum((c * c for c in s[1:]), s[0] * s[0]) / n
 
 
-def _grow(rows: DataFrame, model: Trees, weights: list[Column] | None, chosen: list[list[int]], depth: int, classes: list[float] | None) -> None:
-    """Adds one tree for each list of chosen features to the model. rows: x, y, h, b; weights: of a row in each tree."""
+def _grow(rows: DataFrame, model: Trees, weighted: bool, chosen: list[list[int]], depth: int, classes: list[float] | None) -> None:
+    """Adds one tree for each list of chosen features to the model. rows: x, y, b, ws; weighted: a row counts as ws says, by tree."""
     if not 0 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth has to be 0 to {MOST_DEPTH}")
     size = 2 ** (depth + 1)
     new = [{"feature": [-1] * size, "cut": [0.0] * size, "value": [0.0] * size} for _ in chosen]
-    w = F.array(*(weights or [F.lit(1.0)] * len(chosen)))
     allowed = [[k in c for k in range(len(model.features))] for c in chosen]
     names = list(_statistics(classes))
     for level in range(depth + 1):
         trees = F.from_json(F.lit(json.dumps(new)), TREE)
-        at = F.transform(trees, lambda t, i: F.struct(i.alias("tree"), _walk(t, F.col("x"), level).alias("node"), F.get(w, i).alias("w")))
+        at = F.transform(trees, lambda t, i: F.struct(i.alias("tree"), _walk(t, F.col("x"), level).alias("node"), (F.get("ws", i).cast("double") if weighted else F.lit(1.0)).alias("w")))
         here = rows.select("x", "y", "b", F.explode(at).alias("at")).select("x", "y", "b", "at.*").where((F.col("w") > 0) & (F.col("node") >= 2**level))
         of_node = here.groupBy("tree", "node").agg(F.count("*").alias("rows"), F.min("y").alias("least"), F.max("y").alias("most"), *(f.alias(n) for n, f in _statistics(classes).items()))
         nodes = {}
@@ -154,10 +158,10 @@ def _grow(rows: DataFrame, model: Trees, weights: list[Column] | None, chosen: l
     model.trees += new
 
 
-def _prepared(df: DataFrame, features: list[str], y: str, id_: str | None, bins: int) -> DataFrame:
+def _prepared(df: DataFrame, features: list[str], y: str, id_: str | None, bins: int, resamples: int = 0, seed: int = 0) -> DataFrame:
     h = F.xxhash64(F.col(id_)) if id_ else F.lit(0).cast("long")
     rows = df.select(_features(df, features).alias("x"), F.col(y).cast("double").alias("y"), h.alias("h")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)")
-    return _binned(rows, len(features), bins)
+    return _binned(rows, len(features), bins, resamples, seed)
 
 
 def _classes(rows: DataFrame) -> list[float]:
@@ -172,29 +176,19 @@ def decision_tree(df: DataFrame, features: list[str], y: str, depth: int = 5, cr
     the first feature and the lowest cut, which lies midway between the values of the node on its sides. Leaves hold the
     most frequent class (ties: the smallest), or the mean."""
     rows, model = _prepared(df, features, y, None, bins), Trees(features)
-    _grow(rows, model, None, [list(range(len(features)))], depth, _classes(rows) if criterion == "gini" else None)
+    _grow(rows, model, False, [list(range(len(features)))], depth, _classes(rows) if criterion == "gini" else None)
     return model
 
 
-def poisson(h: Column, seed: int) -> Column:
-    """A Poisson weight with mean 1 drawn by a hash: how often a row occurs in a resample of a large table."""
-    u = (F.xxhash64(h, F.lit(seed)).bitwiseAND(F.lit(2**52 - 1)) + 0.5) / 2.0**52
-    limits, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 18):
-        total, p = total + p, p / k
-        limits.append(total)
-    return sum((F.when(u > t, 1.0).otherwise(0.0) for t in limits[1:]), F.when(u > limits[0], 1.0).otherwise(0.0))
-
-
 def random_forest(df: DataFrame, features: list[str], y: str, id_: str, n_trees: int = 50, depth: int = 5, feature_share: float = 0.7, seed: int = 42, bins: int = BINS) -> Trees:
     """Trees for classes, each on a resample and some of the features. Resamples are Poisson weights drawn by a hash of the
     id, so they don't depend on partitions; rows with equal ids are drawn together."""
     import random
 
-    rows, model = _prepared(df, features, y, id_, bins), Trees(features)
+    rows, model = _prepared(df, features, y, id_, bins, n_trees, seed), Trees(features)
     some, n = random.Random(seed), max(1, round(feature_share * len(features)))
     chosen = [sorted(some.sample(range(len(features)), n)) for _ in range(n_trees)]
-    _grow(rows, model, [poisson(F.col("h"), seed + t) for t in range(n_trees)], chosen, depth, _classes(rows))
+    _grow(rows, model, True, chosen, depth, _classes(rows))
     return model
 
 
@@ -216,7 +210,7 @@ def gradient_boosting(df: DataFrame, features: list[str], y: str, n_trees: int =
         if k - since == WRITE_EVERY:
             now = rest = written(now)
             since = k
-        _grow(now, model, None, [list(range(len(features)))], depth, None)
+        _grow(now, model, False, [list(range(len(features)))], depth, None)
     return Boosted(start, rate, model)
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from numera.operators import trees
+from numera.operators import resampling, trees
 
 
 def grown(x, y, w, depth, classes):
@@ -78,8 +78,8 @@ def test_forest_votes_and_does_not_depend_on_partitions(spark, data):
     df, rows = data
     one, two = (trees.random_forest(d, ["a", "b", "c"], "k", "id", 7, 3, seed=3) for d in (df, df.repartition(1)))
     assert one.trees == two.trees and len({str(t) for t in one.trees}) == 7
-    weights = {r["id"]: r[1:] for r in df.select("id", *(trees.poisson(trees.F.xxhash64("id"), 3 + t) for t in range(7))).collect()}
-    draws = np.array([weights[r[0]] for r in rows])
+    hashes = {r["id"]: r["h"] for r in df.selectExpr("id", "xxhash64(id) AS h").collect()}
+    draws = resampling.weights(np.array([hashes[r[0]] for r in rows]), 7, 3)
     assert 0.8 < draws.mean() < 1.2 and draws.max() > 2
     some = random.Random(3)
     chosen = [sorted(some.sample(range(3), 2)) for _ in range(7)]
