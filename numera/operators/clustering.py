@@ -84,7 +84,6 @@ def _linked_cells(core: DataFrame, offsets, eps: float, d: int) -> DataFrame:
         # the boxes still in question, cut in the middle of each side
         asked = open_.select(F.col("a").alias("cell"), F.col("abox").alias("box")).unionByName(open_.select(F.col("b").alias("cell"), F.col("bbox").alias("box"))).distinct()
         asked = asked.join(boxes.select("cell", "box", "low", "high"), ["cell", "box"])
-        # few rows, each of many points: too few to be worth a shuffle of the points where they are bounded
         asked = written(asked)
         cut = points.join(asked, ["cell", "box"])
         upper = [F.when((F.col("low")[k] < F.col("high")[k]) & ((F.col("x")[k] > F.col("low")[k] + (F.col("high")[k] - F.col("low")[k]) / 2) | (F.col("x")[k] == F.col("high")[k])), 1 << k).otherwise(0) for k in range(d)]
