@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import algebra_geometry, decompositions, digraphs, extended, grown_models, more, solvers, special_functions, spectra, statistics, structures, suffixes_and_factors, transforms, yet_more  # noqa: F401  they register their queries
+from . import algebra_geometry, decompositions, digraphs, extended, grown_models, more, solvers, special_functions, spectra, statistics, structures, suffixes_and_factors, topology, transforms, yet_more  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

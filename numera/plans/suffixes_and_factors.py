@@ -46,5 +46,5 @@ def tensor_cp(spark, d):
 @query("side coordinate component", "x", digits=4)
 def tensor_nmf(spark, d):
     """Quantities by supplier and size: three parts, none negative."""
-    w, h, _ = factorize.nmf(_sales(spark, d), 3, "l_suppkey", "p_size", rounds=50, tolerance=1e-4)
+    w, h, _ = factorize.nmf(_sales(spark, d), 3, "l_suppkey", "p_size", tolerance=1e-3)
     return w.select(F.lit("supplier").alias("side"), F.col("l_suppkey").alias("coordinate"), "component", "x").unionByName(h.select(F.lit("size").alias("side"), F.col("p_size").alias("coordinate"), "component", "x"))
