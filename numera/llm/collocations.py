@@ -85,6 +85,7 @@ def _chunks(it):
                     yield batch(lang)
     for lang in list(open_ones):
         yield batch(lang)
+    _hand_back()
 
 
 def _hash(words: list[bytes], lang: str):
@@ -148,13 +149,23 @@ def bitmap(phrases: DataFrame, n: int) -> Bitmap:
     return Bitmap(bits, out)
 
 
+def _hand_back() -> None:
+    """Gives freed memory back to the system; a Python worker outlives its task and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def _tasks(it):
     """(lang, words, codes) of what a task holds at a time: chunks of one language put together under common codes."""
     from collections import defaultdict
     from itertools import count
 
     import numpy as np
-    import pyarrow as pa
 
     release()
     open_ones: dict = {}
@@ -166,7 +177,7 @@ def _tasks(it):
 
     def whole(lang):
         ids, parts = open_ones.pop(lang)
-        pa.default_memory_pool().release_unused()
+        _hand_back()
         return lang, list(ids), np.concatenate(parts)
 
     for b in it:
@@ -181,6 +192,7 @@ def _tasks(it):
                 yield whole(lang)
     for lang in list(open_ones):
         yield whole(lang)
+    _hand_back()
 
 
 def _unigrams(it):
