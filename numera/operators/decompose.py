@@ -23,14 +23,16 @@ def _products(a: DataFrame, columns: int):
     if columns > COLUMNS:
         raise ValueError(f"{columns} columns: at most {COLUMNS}")
     g = np.zeros((columns, columns))
-    for r in gram(a.dropna(subset=["i", "j", "v"])).collect():
-        g[r["i"], r["j"]] = r["v"]
+    got = gram(a.dropna(subset=["i", "j", "v"])).select("i", "j", "v").toArrow()
+    g[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
     return (g + g.T) / 2
 
 
 def _table(spark, m) -> DataFrame:
+    import pyarrow as pa
+
     i, j = m.nonzero()
-    return spark.createDataFrame(list(zip(i.tolist(), j.tolist(), m[i, j].tolist())), "i long, j long, v double")
+    return spark.createDataFrame(pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "v": pa.array(m[i, j], pa.float64())}))
 
 
 def svd(a: DataFrame, columns: int, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame, DataFrame]:
