@@ -21,17 +21,21 @@ from .tokenize import release
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 #: Fingerprints from which costs are estimated. They decide how fast a join is, never what it finds.
-SAMPLE = 2048
+SAMPLE = 1024
+#: For so many fingerprints the partitions are chosen, however many there are: a row's probes don't grow with the table.
+EXPECTED = 1_000_000
 #: What a probe costs against a candidate pair.
 PROBE_COST = 2.0
 #: A key under which more meet is hot; what fewer fingerprints share alone does not make a key hot.
 BUCKET, SHARED = 64, 4
+#: Of what is left apart under a hot key, as many pairs are compared without sketches, and as many without pieces.
+PLAIN, WHOLE = 1 << 18, 1 << 26
 #: Keys up to this number are broadcast.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 100_000
 #: Of a text's set of shingles, bits that tell whether an odd number of them falls there.
 SKETCH = 1024
 #: Sketches of texts up to this number (some 150 bytes each) are broadcast.
-BROADCAST_SKETCHES = 200_000
+BROADCAST_SKETCHES = 50_000
 #: Of first_of_each_group(): bits in which fingerprints over single words may differ, and the shingles of the exact check.
 WORD_DISTANCE, VERIFY_SHINGLE = 8, 5
 
@@ -102,6 +106,14 @@ def _groups(bits, m: int) -> list[list[int]]:
     return out
 
 
+def _distances(bits):
+    """In how many bits each two rows differ."""
+    import numpy as np
+
+    gram = bits @ (1 - bits).T
+    return np.rint(gram + gram.T).astype(np.uint8)
+
+
 def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]:
     """Thresholds from -1 up with a sum of distance - m + 1 and the least total of costs[i][t + 1], by dynamic programming."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -117,12 +129,14 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
 
 
 def choose_partitions(sample: list[int], total: int, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed, for total fingerprints of which sample is a part."""
+    """(bits, threshold) of each partition that is probed, for total fingerprints of which sample is a part. Near copies in
+    the sample do not count: they meet under any partitions, and hot keys take care of them."""
     import numpy as np
     from math import comb
 
     bits = np.unpackbits(np.array(sample, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) if sample else np.zeros((0, BITS), np.float32)
-    i, j = np.triu_indices(len(bits), 1)
+    others = np.triu(_distances(bits) > 2 * distance, 1)
+    all_pairs = len(bits) * (len(bits) - 1) / 2
     total = max(total, 1000)  # of few nodes, any partitions do
     pairs = total * (total - 1) / 2
     found = []
@@ -130,14 +144,12 @@ def choose_partitions(sample: list[int], total: int, distance: int = DISTANCE) -
         groups = _groups(bits, m) if len(bits) > 1 else [list(range(k, BITS, m)) for k in range(m)]
         costs = []
         for g in groups:
-            part = bits[:, g]
-            gram = part @ (1 - part).T if len(bits) else np.zeros((0, 0))
-            apart = np.rint((gram + gram.T)[i, j]) if len(bits) else np.zeros(0)
+            apart = _distances(bits[:, g])[others]
             row = [0.0]
             for t in range(distance + 1):
                 ball, probes = (sum(comb(len(g), k) for k in range(r + 1)) for r in (t, (t + 1) // 2))
                 # a sample is too small to see rare collisions: they are no rarer than between random bits
-                share = max(float((apart <= t).mean()) if len(apart) else 0.0, ball / 2.0 ** len(g))
+                share = max(np.count_nonzero(apart <= t) / max(all_pairs, 1), ball / 2.0 ** len(g))
                 row.append(share * pairs + PROBE_COST * probes * total)
             costs.append(row)
         cost, chosen = allocate(costs, distance)
@@ -158,7 +170,8 @@ def _mask(bits: list[int]) -> int:
 def _near_values(part: int, value: Column, flips: list[int], own: int) -> Column:
     """Array of (key, own, part) of the partition's values that the flips make of value; the first ones are own."""
     key = lambda f, i: F.struct(F.xxhash64(F.lit(part), value.bitwiseXOR(f)).alias("key"), (i < own).alias("own"), F.lit(part).alias("part"))
-    return F.transform(F.expr(f"array({', '.join(f'bigint({f})' for f in flips)})"), key)
+    # one constant, as plans with a literal for each of them take the driver's memory
+    return F.transform(F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>"), key)
 
 
 def _probes(parts: list[tuple[list[int], int]]) -> Column:
@@ -187,19 +200,20 @@ def _pair(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[DataFrame], DataFrame] | None = None, sketches: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """u, v long: pairs of nodes whose fingerprints differ in at most distance bits and that verify keeps, enough of them
-    to connect all that such pairs connect. nodes: node (distinct), fp long, in a written table.
+    to connect all that such pairs connect. nodes: node (distinct), fp long, in a written table. sketches gives node, n and
+    sketch of some nodes; verify must keep no pair that may_be_similar leaves out.
 
     Under a key of few nodes, all are compared. Under others, all are first compared to one of them; then those that are
-    not of the component that most of the key's nodes have got are compared to the rest, where they also agree in one of
-    distance + 1 pieces of the bits. A pair is made in the first partition and piece in which it meets. So a group of near copies costs about a comparison a node and
-    key, not one a pair, and nothing is left out.
+    not of the component that most of the key's nodes have got are compared to the rest, where that is much only if their
+    sketches allow it, and where it is very much only if they also agree in one of distance + 1 pieces of the bits. A pair
+    is made in the first partition and piece in which it meets. So a group of near copies costs about a comparison a node
+    and key, not one a pair, and nothing is left out.
     """
     verify = verify or (lambda pairs: pairs)
-    total = nodes.count()
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp"), "node").limit(SAMPLE).select("fp").collect()]
-    parts = choose_partitions(sample, total, distance)
+    parts = choose_partitions(sample, EXPECTED, distance)
     keyed = nodes.select("node", "fp", F.explode(_probes(parts)).alias("x")).select("node", "fp", "x.*")
     as_ = lambda df, a: df.select("key", *(F.col(c).alias(f"{a}_{c}") for c in df.columns if c != "key"))
     close = F.expr(f"(a_own OR b_own) AND bit_count(a_fp ^ b_fp) <= {distance}")
@@ -231,15 +245,28 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     # what the first comparisons leave apart
     roots = components(links)
     met = materialize(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "met")
-    main = met.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    main = met.groupBy("key", "root").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("main"), F.sum("_n").alias("all"), F.max("_n").alias("most"))
+    main = materialize(main.where("all > most").select("key", "main", ((F.col("all") - F.col("most")) * F.col("all")).alias("work")), "main")
     met = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key")
-    piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
-    split = met.select("key", "node", "fp", "own", "root", "main", "part", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).alias("piece", "value"))
-    split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value")
-    once += " AND " + " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
-    apart = as_(split.where("root <> main"), "a")
-    more = apart.join(as_(split, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close).where(once)
-    more = materialize(more.select(*_pair("a_node", "b_node")).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+
+    def compared(some: DataFrame, once: str) -> DataFrame:
+        apart = as_(some.where("root <> main"), "a")
+        return apart.join(as_(some, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close).where(once)
+
+    pair = _pair("a_node", "b_node")
+    more = compared(met.where(F.col("work") <= PLAIN), once).select(*pair)
+    if not main.where(F.col("work") > PLAIN).isEmpty():
+        piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
+        crowd = met.where(F.col("work") > PLAIN)
+        if sketches:
+            crowd = crowd.join(materialize(sketches(crowd.select("node").distinct()), "sketches"), "node")
+        values = F.when(F.col("work") > WHOLE, F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).otherwise(F.array(F.lit(0).cast("long")))
+        split = crowd.select("*", F.posexplode(values).alias("piece", "value"))
+        split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value", "work")
+        first_piece = " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
+        met_twice = compared(split, f"{once} AND {first_piece}")
+        more = more.unionByName((met_twice.where(may_be_similar("a", "b")) if sketches else met_twice).select(*pair))
+    more = materialize(more.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
     return links if more.isEmpty() else links.unionByName(materialize(verify(more), "links"))
 
 
@@ -345,14 +372,16 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = materialize(best.withColumn("node", F.monotonically_increasing_id()), "nodes")
     texts = rows.select("_r1", "_r2", text.alias("_text"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "first._r1", "first._r2")
-        wanted = materialize(wanted, "wanted")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted.join(nodes, "node").select("node", "first._r1", "first._r2"), "wanted")
         if wanted.count() <= BROADCAST_KEYS:
             wanted = F.broadcast(wanted)
         some = texts.join(wanted, ["_r1", "_r2"]).select("node", "_text")
         sets = some.mapInArrow(_sets, "node long, hashes array<long>, n long, sketch array<long>").groupBy("node")
-        sets = materialize(sets.agg(*(F.any_value(c).alias(c) for c in ("hashes", "n", "sketch"))), "sets")  # equal rows are one
+        return sets.agg(*(F.any_value(c).alias(c) for c in ("hashes", "n", "sketch")))  # equal rows are one
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sets = materialize(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "sets")
         small = F.broadcast if sets.count() <= BROADCAST_SKETCHES else lambda df: df
         for side in ("u", "v"):
             pairs = pairs.join(small(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))), side)
@@ -360,7 +389,7 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
         return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("u", "v")
 
-    roots = components(near_links(nodes.select("node", "fp"), distance, similar))
+    roots = components(near_links(nodes.select("node", "fp"), distance, similar, lambda some: sets_of(some).select("node", "n", "sketch")))
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._r1", "first._r2")
     # of each kept name, how many rows have it; the other rows go

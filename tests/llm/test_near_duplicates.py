@@ -99,3 +99,33 @@ def test_columns_with_the_names_of_helpers_keep_their_values(spark):
     got = simhash.first_of_each_group(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [(i, t, *(f"<{c}>" for c in names)) for i, t in (rows[0], rows[3])]
+
+
+def test_probes_of_a_row_do_not_depend_on_how_many_rows_there_are(spark, monkeypatch):
+    seen, chosen = [], simhash.choose_partitions
+    monkeypatch.setattr(simhash, "choose_partitions", lambda sample, total, distance: seen.append(total) or chosen(sample, total, distance))
+    for n in (50, 3000):
+        assert simhash.near_links(spark.range(n).selectExpr("id AS node", "xxhash64(id) AS fp")).count() == 0
+    assert len(set(seen)) == 1
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 26])
+def test_a_crowd_of_unlike_texts_is_told_apart_by_sketches(spark, monkeypatch, whole):
+    """Fingerprints that are all near each other, of sets that differ in most members: few pairs are left to verify."""
+    for name, value in (("BUCKET", 4), ("PLAIN", 0), ("WHOLE", whole)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(8)
+    sets = {k: rng.integers(-(2**62), 2**62, 300) for k in range(40)}
+    sets[39] = np.where(np.arange(300) < 5, sets[7], sets[38])  # 38 and 39 are alike
+    nodes = spark.createDataFrame([(k, 1 << k) for k in sets], "node long, fp long")
+    rows = [(k, len(np.unique(h)), np.frombuffer(simhash.sketch(h), "<i8").tolist()) for k, h in sets.items()]
+    sketches = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where("u = 38 AND v = 39")
+
+    got = simhash.near_links(nodes, verify=verify, sketches=lambda some: sketches.join(some, "node"))
+    assert [tuple(r) for r in got.distinct().collect()] == [(38, 39)]
+    assert sum(asked) < 5 * len(sets)
