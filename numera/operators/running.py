@@ -33,6 +33,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a written table from which it is not broadcast unless asked for: its files are compressed, and the driver would
+#: hold many times as much.
+BROADCAST_FILES = 1 << 20
+
 _written: list = []
 
 
@@ -54,7 +58,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_folder(df)}/numera-{uuid.uuid4().hex}"
     _written.append((df.sparkSession, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return back if size <= BROADCAST_FILES else back.hint("merge")
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], before: str = "_range") -> DataFrame:

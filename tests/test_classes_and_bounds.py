@@ -35,3 +35,16 @@ def test_modularity_of_classes(spark, both):
 def test_an_id_has_one_class(spark):
     with pytest.raises(ValueError):
         graph.triangles_of_classes(spark.createDataFrame([(1, "a"), (1, "b")], "id long, class string"))
+
+
+def test_a_written_table_is_not_broadcast_by_the_size_of_its_files(spark, monkeypatch):
+    from numera.operators import running
+
+    small = spark.range(100).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" in running.written(small).join(running.written(small), "k")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(running, "BROADCAST_FILES", 0)
+    a, b = running.written(small), running.written(small)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(a.join(b, "k"))
+    assert "BroadcastHashJoin" in plan(a.join(F.broadcast(b), "k"))  # where asked for
+    assert a.join(b.groupBy("k").count(), "k").count() == 100
