@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cplx, poly, roots
 from ..operators import geo
+from ..operators.by_value import by_value
 from ..sources.tables import table
 from .registry import query
 
@@ -22,7 +23,7 @@ def _part(spark, d):
 def optim_roots(spark, d):
     a = F.col("a")
     square, cube = lambda v: v * v - a, lambda v: v * v * v - a
-    return _part(spark, d).select("p_partkey", roots.bisection(square, LIT(0.0), a + 1).alias("bi"), roots.illinois(square, LIT(0.0), a + 1).alias("il"), roots.secant(square, a, a + 1).alias("se"), roots.newton(cube, a + 1).alias("ne"),
+    return by_value(_part(spark, d), ["a"], ["p_partkey"], roots.bisection(square, LIT(0.0), a + 1).alias("bi"), roots.illinois(square, LIT(0.0), a + 1).alias("il"), roots.secant(square, a, a + 1).alias("se"), roots.newton(cube, a + 1).alias("ne"),
                                   roots.halley(cube, lambda v: 3 * v * v, lambda v: 6 * v, a + 1).alias("ha"), roots.fixed_point(lambda v: (v + a / v) / 2, a + 1, 60).alias("fp"),
                                   F.round(roots.golden_section(lambda v: (v - a) * (v - a), LIT(0.0), a + 1) - a, 4).alias("gs"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import counting, prob, series
 from ..functions import orthogonal as ortho
 from ..operators import finance
+from ..operators.by_value import by_value
 from ..sources.tables import table
 from .registry import query
 
@@ -49,7 +50,7 @@ def special_gamma_family(spark, d):
 def special_sums(spark, d):
     n = F.col("p_size")
     x, u, s, lit = n / 7.0, n / 60.0, 1.5 + n / 10.0, F.lit
-    return table(spark, d, "part").select("p_partkey", series.erf(x / 4).alias("er"), series.erfc(x / 4).alias("ec"), series.gamma_inc_reg(lit(3.0), x).alias("gi"), series.gamma_inc_reg_upper(lit(3.0), x).alias("gu"), series.beta_inc_reg(lit(2.0), lit(3.0), u).alias("bi"),
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey"], series.erf(x / 4).alias("er"), series.erfc(x / 4).alias("ec"), series.gamma_inc_reg(lit(3.0), x).alias("gi"), series.gamma_inc_reg_upper(lit(3.0), x).alias("gu"), series.beta_inc_reg(lit(2.0), lit(3.0), u).alias("bi"),
                                           series.zeta(s).alias("ze"), series.zeta_hurwitz(s, x).alias("hu"), series.eta_dirichlet(s).alias("et"), series.beta_dirichlet(s).alias("be"), series.polylog(lit(1), u).alias("pl"))
 
 
@@ -59,7 +60,7 @@ def special_sums(spark, d):
  FROM (SELECT p_partkey, p_size / 7.0 AS x, p_size / 60.0 AS m FROM part), (SELECT list_transform(range(0, 401), lambda k: exp(2 * (lgamma(k + 0.5) - lgamma(k + 1))) / pi()) AS c)""")
 def special_bessel_elliptic(spark, d):
     x, m = F.col("p_size") / 7.0, F.col("p_size") / 60.0
-    return table(spark, d, "part").select("p_partkey", series.bessel_j0(x).alias("j0"), series.bessel_j1(x).alias("j1"), series.bessel_j(F.lit(3), x).alias("jn"), series.bessel_i(F.lit(2), x).alias("bi"), series.spherical_yn(F.lit(2), x).alias("y2"),
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey"], series.bessel_j0(x).alias("j0"), series.bessel_j1(x).alias("j1"), series.bessel_j(F.lit(3), x).alias("jn"), series.bessel_i(F.lit(2), x).alias("bi"), series.spherical_yn(F.lit(2), x).alias("y2"),
                                           series.ellip_k(m).alias("k"), series.ellip_e(m).alias("e"), series.ellip_d(m).alias("dd"), series.lambert_w(x * F.exp(x)).alias("w"))
 
 
@@ -67,7 +68,7 @@ def special_bessel_elliptic(spark, d):
  FROM (SELECT p_partkey, p_size / 60.0 AS u FROM part)""")
 def special_quadrature(spark, d):
     u, zero = F.col("p_size") / 60.0, F.lit(0.0)
-    return table(spark, d, "part").select("p_partkey", series.ellip_f(u, zero).alias("f0"), series.ellip_e_inc(u, zero).alias("e0"), series.ellip_pi(u / 2, zero).alias("p0"), series.debye(1, u).alias("d1"))
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey"], series.ellip_f(u, zero).alias("f0"), series.ellip_e_inc(u, zero).alias("e0"), series.ellip_pi(u / 2, zero).alias("p0"), series.debye(1, u).alias("d1"))
 
 
 @query("p_partkey", "wp wq lp lq op oq gp gq cp cq pp pq rp rq", """SELECT p_partkey, 1.5 / 2 * sqrt(x / 2) * exp(-pow(x / 2, 1.5)) AS wp, 2 * pow(-ln(1 - p), 1 / 1.5) AS wq, exp(-abs(x - 1) / 2) / 4 AS lp, CASE WHEN p < 0.5 THEN 1 + 2 * ln(2 * p) ELSE 1 - 2 * ln(2 - 2 * p) END AS lq,
@@ -87,7 +88,7 @@ def prob_densities_quantiles(spark, d):
 def prob_families(spark, d):
     n = F.col("p_size")
     k, x, u, y = n % 13, n / 7.0, n / 51.0, (n - 25) / 9.0
-    return table(spark, d, "part").select("p_partkey", prob.binom_pmf(k, F.lit(12), 0.3).alias("bp"), prob.binom_cdf(k, F.lit(12), 0.3).alias("bc"), prob.poisson_cdf(k, 2.5).alias("pc"), prob.gamma_pdf(x, 3.0, 2.0).alias("gp"), prob.gamma_cdf(x, 3.0, 2.0).alias("gc"),
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey"], prob.binom_pmf(k, F.lit(12), 0.3).alias("bp"), prob.binom_cdf(k, F.lit(12), 0.3).alias("bc"), prob.poisson_cdf(k, 2.5).alias("pc"), prob.gamma_pdf(x, 3.0, 2.0).alias("gp"), prob.gamma_cdf(x, 3.0, 2.0).alias("gc"),
                                           prob.chi2_pdf(x, 6.0).alias("xp"), prob.chi2_cdf(x, 6.0).alias("xc"), prob.beta_pdf(u, 2.0, 3.0).alias("ep"), prob.beta_cdf(u, 2.0, 3.0).alias("ec"), prob.t_pdf(y, 3.0).alias("tp"), prob.t_cdf(y, 3.0).alias("tc"),
                                           prob.f_pdf(x, 4.0, 6.0).alias("fp"), prob.f_cdf(x, 4.0, 6.0).alias("fc"))
 
@@ -99,7 +100,7 @@ def prob_families(spark, d):
 def finance_bonds(spark, d):
     n, y, lit = 1 + F.col("p_size") % 20, 0.01 + F.col("p_size") / 300.0, F.lit
     price = finance.black_scholes(lit(100.0), lit(95.0), lit(1.0), lit(0.02), y)
-    return table(spark, d, "part").select("p_partkey", finance.bond_modified_duration(lit(0.05), y, n).alias("md"), finance.bond_convexity(lit(0.05), y, n).alias("cx"), finance.bond_ytm(finance.bond_price(lit(100.0), lit(0.05), y, n), lit(100.0), lit(0.05), n).alias("ytm"),
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey"], finance.bond_modified_duration(lit(0.05), y, n).alias("md"), finance.bond_convexity(lit(0.05), y, n).alias("cx"), finance.bond_ytm(finance.bond_price(lit(100.0), lit(0.05), y, n), lit(100.0), lit(0.05), n).alias("ytm"),
                                           F.when(y > 0.06, finance.implied_volatility(price, lit(100.0), lit(95.0), lit(1.0), lit(0.02))).otherwise(y).alias("iv"), finance.present_value(y, n, lit(7.0), lit(100.0)).alias("pv"), finance.future_value(y, n, lit(7.0), lit(100.0)).alias("fv"),
                                           finance.continuous_compound(lit(100.0), y, n).alias("cc"), finance.capm(lit(0.02), lit(1.3), y).alias("cm"), finance.cir_bond_price(y, 0.5, 0.04, 0.1, n).alias("cir"))
 
@@ -112,7 +113,7 @@ def finance_trees(spark, d):
     s, r, lit = 80.0 + F.col("p_size"), 0.01 + F.col("p_size") / 200.0, F.lit
     tree = lambda **kw: finance.binomial_option(s, lit(100.0), lit(1.0), lit(0.03), lit(0.25), 12, **kw)
     # an American call on a stock without dividends is worth as much as a European one
-    return table(spark, d, "part").select("p_partkey", tree().alias("eu"), tree(call=False).alias("pa"), tree(american=True).alias("am"), finance.irr(F.array(lit(-100.0), 100 * r, 100 * r, 100 + 100 * r)).alias("irr"))
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey"], tree().alias("eu"), tree(call=False).alias("pa"), tree(american=True).alias("am"), finance.irr(F.array(lit(-100.0), 100 * r, 100 * r, 100 + 100 * r)).alias("irr"))
 
 
 @query("p_partkey df cr mu s1 s2 eu mo iv rp ne br gc", "", """SELECT p_partkey, list_product(list_transform(range(1, n + 1), lambda i: CASE WHEN (n - i) % 2 = 0 THEN i ELSE 1 END))::BIGINT AS df, ((n + 2) * (n + 1) * n // 6)::BIGINT AS cr, (factorial((m + 3)::INT) / factorial(m::INT) / 2)::BIGINT AS mu,
@@ -121,8 +122,8 @@ def finance_trees(spark, d):
  FROM (SELECT p_partkey, 1 + p_size % 16 AS n, p_size % 5 AS m FROM part)""")
 def combo_more_counts(spark, d):
     n, m, lit = (1 + F.col("p_size") % 16).cast("bigint"), (F.col("p_size") % 5).cast("bigint"), F.lit
-    return table(spark, d, "part").select("p_partkey", counting.double_factorial(n).alias("df"), counting.combinations_with_rep(n, lit(3)).alias("cr"), counting.multinomial(F.array(m, lit(2), lit(1))).alias("mu"), counting.stirling1(lit(3), m).alias("s1"), counting.stirling2(lit(3), m).alias("s2"),
-                                          counting.eulerian_number(lit(3), m).alias("eu"), counting.motzkin_num(m).cast("bigint").alias("mo"), counting.involutions(m).cast("bigint").alias("iv"), counting.restricted_partitions(lit(6), m).alias("rp"), counting.necklaces(n, 2).alias("ne"), counting.bracelets(n, 2).alias("br"), counting.gray_code(F.col("p_partkey")).cast("bigint").alias("gc"))
+    return by_value(table(spark, d, "part"), ["p_size"], ["p_partkey", counting.gray_code(F.col("p_partkey")).cast("bigint").alias("gc")], counting.double_factorial(n).alias("df"), counting.combinations_with_rep(n, lit(3)).alias("cr"), counting.multinomial(F.array(m, lit(2), lit(1))).alias("mu"), counting.stirling1(lit(3), m).alias("s1"), counting.stirling2(lit(3), m).alias("s2"),
+                                          counting.eulerian_number(lit(3), m).alias("eu"), counting.motzkin_num(m).cast("bigint").alias("mo"), counting.involutions(m).cast("bigint").alias("iv"), counting.restricted_partitions(lit(6), m).alias("rp"), counting.necklaces(n, 2).alias("ne"), counting.bracelets(n, 2).alias("br")).select("p_partkey", "df", "cr", "mu", "s1", "s2", "eu", "mo", "iv", "rp", "ne", "br", "gc")
 
 
 @query("p_partkey inv js lu mo", "", """SELECT p_partkey, list_filter(range(0, 97), lambda k: k * (1 + p_partkey % 96) % 97 = 1)[1]::BIGINT AS inv, CASE WHEN p_partkey % 19 = 0 THEN 0 WHEN len(list_filter(range(1, 19), lambda k: k * k % 19 = p_partkey % 19)) > 0 THEN 1 ELSE -1 END::BIGINT AS js,

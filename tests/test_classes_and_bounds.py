@@ -48,3 +48,19 @@ def test_a_written_table_is_not_broadcast_by_the_size_of_its_files(spark, monkey
     assert "BroadcastHashJoin" not in plan(a.join(b, "k"))
     assert "BroadcastHashJoin" in plan(a.join(F.broadcast(b), "k"))  # where asked for
     assert a.join(b.groupBy("k").count(), "k").count() == 100
+
+
+def test_functions_are_computed_once_a_value(spark):
+    from numera.operators.by_value import by_value
+
+    rows = [(k, k % 3 if k % 4 else None, k % 2) for k in range(40)] + [(1, 1, 1)]
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        runs.add(1)
+        return None if a is None else 10 * a + b
+
+    got = by_value(df, ["a", "b"], ["id"], F.udf(counted, "long")("a", "b").alias("f")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, None if a is None else 10 * a + b)) for i, a, b in rows)
+    assert runs.value == len({r[1:] for r in rows})
