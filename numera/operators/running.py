@@ -35,7 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Bytes of a written table from which it is not broadcast unless asked for: its files are compressed, and the driver would
 #: hold many times as much.
-BROADCAST_FILES = 1 << 20
+BROADCAST_FILES = 1 << 16
 
 _written: list = []
 
