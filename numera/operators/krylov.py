@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import checkpointed, written
+from .running import checkpointed, dropped, written
 
 
 class Solution(NamedTuple):
@@ -83,19 +83,21 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, max_iter: int = 1000, t
 
     a = _dealt(a, "j")
     s = written(_unknowns(a, b).withColumn("x", F.lit(0.0)))
-    rounds, last = 0, float("inf")
+    rounds, last, old = 0, float("inf"), s
     while True:
         s = written(s.join(_product(a, s.select("k", "x")), "k", "left").select("k", "b", "x", (F.col("b") - F.coalesce("ax", F.lit(0.0))).alias("r")))
+        dropped(old)
         norm = _numbers(s, F.col("r") * F.col("r"))[0] ** 0.5
         if norm < tol or rounds >= max_iter or norm >= last * (1 - 1e-12):
             return Solution(s.select(F.col("k").alias("j"), "x"), rounds, norm)
         last = norm
         basis = written(s.select("k", "b", "x", F.array(F.col("r") / norm).alias("vs")))
+        dropped(s)
         h = np.zeros((restart + 1, restart))
         size = 0
         for m in range(min(restart, max_iter - rounds)):
             w = basis.join(_product(a, basis.select("k", F.col("vs")[m].alias("x"))), "k", "left").select("k", "b", "x", "vs", F.coalesce("ax", F.lit(0.0)).alias("w"))
-            w = written(w)
+            w = product = written(w)
             first = _numbers(w, *(F.col("vs")[i] * F.col("w") for i in range(m + 1)))
             less = F.col("w") - sum((F.col("vs")[i] * c for i, c in enumerate(first)), F.lit(0.0))
             w = w.withColumn("w", less)
@@ -106,10 +108,13 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, max_iter: int = 1000, t
             size, rounds = m + 1, rounds + 1
             y, rest = _least(h[: m + 2, : m + 1], norm)
             if rest < tol or h[m + 1, m] <= 1e-14 * norm:
+                dropped(product)
                 break
-            basis = written(w.select("k", "b", "x", F.concat("vs", F.array(F.col("w") / float(h[m + 1, m]))).alias("vs")))
+            old, basis = basis, written(w.select("k", "b", "x", F.concat("vs", F.array(F.col("w") / float(h[m + 1, m]))).alias("vs")))
+            dropped(old, product)
         y, _ = _least(h[: size + 1, :size], norm)
         s = basis.select("k", "b", (F.col("x") + sum((F.col("vs")[i] * float(c) for i, c in enumerate(y)), F.lit(0.0))).alias("x"))
+        old = basis
 
 
 def _least(h, norm: float):

@@ -61,7 +61,15 @@ def written(df: DataFrame) -> DataFrame:
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     size = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return back if size <= BROADCAST_FILES else back.hint("merge")
+    back = back if size <= BROADCAST_FILES else back.hint("merge")
+    back._written_at = p
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing will read again."""
+    for t in tables:
+        t._written_at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t._written_at, True)
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], before: str = "_range") -> DataFrame:

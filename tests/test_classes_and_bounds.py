@@ -64,3 +64,19 @@ def test_functions_are_computed_once_a_value(spark):
     got = by_value(df, ["a", "b"], ["id"], F.udf(counted, "long")("a", "b").alias("f")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, None if a is None else 10 * a + b)) for i, a, b in rows)
     assert runs.value == len({r[1:] for r in rows})
+
+
+def test_gmres_leaves_no_table_of_an_earlier_round(spark, monkeypatch):
+    import os
+
+    from numera.operators import krylov, running
+
+    made, write = [], running.written
+    monkeypatch.setattr(krylov, "written", lambda df: made.append(write(df)) or made[-1])
+    n = 12
+    a = spark.range(n).selectExpr("id AS i", "explode(array(id, (id + 1) % 12)) AS j").selectExpr("i", "j", "CASE WHEN i = j THEN 2.0D ELSE -0.25D * (1 + i % 3) END AS v")
+    b = spark.range(n).selectExpr("id AS i", "CAST(id AS double) AS v")
+    found = krylov.gmres(a, b, restart=2, max_iter=4, tol=1e-12)
+    assert found.rounds == 4 and found.x.count() == n
+    left = [t for t in made if os.path.exists(t._written_at.toUri().getPath())]
+    assert len(made) > 8 and left == made[-1:]
