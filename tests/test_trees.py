@@ -110,3 +110,23 @@ def test_empty_table(data):
     assert set(predicted(df.where("id < 3"), trees.decision_tree(none, ["a", "b"], "k", 2)).values()) == {0.0}
     with pytest.raises(ValueError):
         trees.decision_tree(df, ["a"], "k", 40)
+
+
+def test_rows_of_equal_features_are_one(spark):
+    """A fit to numbers takes as many rows as there are combinations of features, and the trees are those of the rows."""
+    import numpy as np
+
+    from numera.operators import trees
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(a * b + e)) for a, b, e in zip(rng.integers(0, 6, 3000), rng.integers(0, 5, 3000), rng.normal(0, 1, 3000))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    assert trees._numbers(df, ["a", "b"], "y", 256).count() == 30
+    model = trees.gradient_boosting(df, ["a", "b"], "y", n_trees=3, depth=2, rate=0.5)
+    x, rest = np.array([r[:2] for r in rows]), np.array([r[2] for r in rows])
+    rest = rest - rest.mean()
+    for tree in model.trees.trees:
+        leaf = trees._walk(tree, x)
+        for k in np.unique(leaf):
+            assert abs(tree["value"][k] - rest[leaf == k].mean()) < 1e-9
+        rest = rest - 0.5 * np.array(tree["value"])[leaf]
