@@ -37,6 +37,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 #: hold many times as much.
 BROADCAST_FILES = 1 << 16
 
+#: Rows of a range of running_sums, about: more rows make more ranges, not larger ones.
+RANGE = 1_000_000
+
 _written: list = []
 
 
@@ -74,13 +77,15 @@ def dropped(*tables: DataFrame) -> None:
 
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], before: str = "_range") -> DataFrame:
     """df with a running total of each column in sums (name of the total -> column), within the groups of by, over the rows
-    up to and including this one in the order, which should leave no ties.
+    up to and including this one in the order (columns by name), which should leave no ties.
 
     Rows are range-sorted by group and order; each range adds up its own rows, and one row a range and group carries what
     the earlier ranges hold. Equal keys share a range, so a value that many rows share has to be counted first.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = written(df)  # so that it is made once, to be counted, sampled and dealt
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
     ranged = checkpointed(df.repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn(before, F.spark_partition_id()))
+    dropped(df)
     totals = ranged.groupBy(before, *by).agg(*(F.sum(c).alias(t) for t, c in sums.items()))
     earlier = W.partitionBy(*by).orderBy(before).rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(before, *by, *(F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_carry{k}") for k, t in enumerate(sums)))

@@ -12,13 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import descriptive as D
-from .running import running_sums
+from .running import running_sums, written
+
+
+def _counted(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    return df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_c"))
 
 
 def _ranked(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """Rows with _rn (from 1) in ascending order and _n of their group. Ranks come from value counts, so that a value
     that many rows share costs one row, and no row is collected."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_c"))
+    return _ranked_counts(_counted(df, x, by), x, by)
+
+
+def _ranked_counts(counts: DataFrame, x: str, by: list[str]) -> DataFrame:
     sums = running_sums(counts, by, [F.col(x)], {"_hi": "_c"})
     groups = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     if not by:
@@ -50,10 +57,23 @@ def trimmed_mean(df: DataFrame, x: str, by: list[str], share: float) -> DataFram
     return r.withColumn("_k", kept).groupBy(*by).agg(F.when(F.sum("_k") > 0, F.sum(F.col("_k") * F.col(x)) / F.nullif(F.sum("_k"), F.lit(0))).otherwise(median).alias("trimmed_mean"))
 
 
+def _medians(counts: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """by, _med of values with their counts _c: no task holds a group."""
+    lo, hi = F.col("_hi") - F.col("_c"), F.col("_hi")
+    mid = lambda k: F.min(F.when((hi >= k) & (lo < k), F.col(x)))
+    median = mid(F.floor((F.col("_n") + 1) / 2)) * 0.5 + mid(F.floor(F.col("_n") / 2) + 1) * 0.5
+    return _ranked_counts(counts, x, by).groupBy(*by).agg(median.alias("_med"))
+
+
 def mad(df: DataFrame, x: str, by: list[str], scale: float = 1.4826) -> DataFrame:
-    """Median absolute deviation from the median."""
-    m = df.groupBy(*by).agg(F.median(x).alias("_med"))
-    return df.join(m, by).groupBy(*by).agg((F.median(F.abs(F.col(x) - F.col("_med"))) * scale).alias("mad"))
+    """Median absolute deviation from the median. A group without values: null; a null is no group."""
+    rows = df.select(*by, F.col(x).cast("double").alias("_x")).dropna(subset=by) if by else df.select(F.col(x).cast("double").alias("_x"))
+    counts = written(_counted(rows, "_x", by))
+    m = F.broadcast(_medians(counts, "_x", by)) if not by else _medians(counts, "_x", by)
+    away = (counts.join(m, by) if by else counts.join(m)).withColumn("_x", F.abs(F.col("_x") - F.col("_med")))
+    found = _medians(away.groupBy(*by, "_x").agg(F.sum("_c").alias("_c")), "_x", by)
+    groups = rows.select(*by).distinct().join(found, by, "left") if by else found
+    return groups.select(*by, (F.col("_med") * scale).alias("mad"))
 
 
 def average_ranks(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
@@ -109,8 +129,8 @@ def one_way_anova(df: DataFrame, x: str, g: str) -> DataFrame:
 
 def levene_test(df: DataFrame, x: str, g: str) -> DataFrame:
     """Centred by group medians."""
-    m = df.groupBy(g).agg(F.median(x).alias("_med"))
-    return one_way_anova(df.join(m, g).select(g, F.abs(F.col(x) - F.col("_med")).alias("d")), "d", g).withColumnRenamed("f", "w")
+    m = _medians(_counted(df.select(g, F.col(x).cast("double").alias(x)).dropna(subset=[g]), x, [g]), x, [g])
+    return one_way_anova(df.dropna(subset=[g]).join(m, g, "left").select(g, F.abs(F.col(x) - F.col("_med")).alias("d")), "d", g).withColumnRenamed("f", "w")
 
 
 def bartlett_test(df: DataFrame, x: str, g: str) -> DataFrame:
