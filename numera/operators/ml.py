@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .running import running_sums
 
+#: Queries that meet a batch of points at a time.
+QUERIES = 512
+
 
 def confusion(df: DataFrame, p: str, y: str, limit: float = 0.5) -> DataFrame:
     """tp, fp, fn, tn, accuracy, precision, recall, f1."""
@@ -45,15 +48,64 @@ def min_max_scale(df: DataFrame, columns: list[str], key: list[str]) -> DataFram
     return df.select(*key, *((((F.col(c) - row[f"a_{c}"]) / span(c)) if span(c) else F.lit(0.0)).alias(c) for c in columns))
 
 
+def _nearest(q_vectors, k: int):
+    """Of the points of a task: the k nearest to each query. Products of matrices tell which points may be among them; the
+    distances of those are then taken coordinate by coordinate."""
+
+    def run(it):
+        import numpy as np
+        import pandas as pd
+
+        a = q_vectors.value
+        square = (a * a).sum(1)
+        best = pd.DataFrame({"q": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        limit = np.full(len(a), np.inf)
+        for f in it:
+            if not len(f):
+                continue
+            b = np.stack(f["vec"].to_numpy()).astype(float)
+            of_b = (b * b).sum(1)
+            found = []
+            for at in range(0, len(a), QUERIES):
+                s = slice(at, at + QUERIES)
+                d = square[s, None] + of_b[None] - 2 * (a[s] @ b.T)
+                slack = 1e-9 * (square[s, None] + of_b[None]) + 1e-300  # far beyond what rounding can do
+                high = d + slack
+                if len(b) > k:
+                    high = np.partition(high, k - 1, axis=1)[:, :k]
+                most = high.max(1) if len(b) >= k else np.full(len(high), np.inf)
+                q, p = np.nonzero(d - slack <= np.minimum(most, limit[s])[:, None])
+                total = np.zeros(len(q))
+                for c in range(b.shape[1]):
+                    total += (a[at + q, c] - b[p, c]) ** 2
+                found.append(pd.DataFrame({"q": at + q, "id": f["id"].to_numpy()[p], "distance": np.sqrt(total)}))
+            best = pd.concat([best, *found] if len(best) else found).sort_values(["q", "distance", "id"]).groupby("q").head(k)
+            full = best.groupby("q")["distance"].agg(["size", "max"])
+            full = full[full["size"] == k]
+            limit[full.index.to_numpy()] = full["max"].to_numpy() ** 2 * (1 + 1e-9) + 1e-300
+        if len(best):
+            yield best[["q", "id", "distance"]]
+
+    return run
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, q: str = "q", id_: str = "id", vec: str = "vec") -> DataFrame:
     """q, id, distance, rank: the k nearest points of each query by Euclidean distance, ties by id. Queries are the small,
-    stated side and are sent to all; each task keeps k points a query before they are shuffled."""
-    apart = F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = points.select(F.col(id_).alias("id"), F.col(vec).cast("array<double>").alias("_b")).join(F.broadcast(queries.select(F.col(q).alias("q"), F.col(vec).cast("array<double>").alias("_a"))), F.lit(True))
-    pairs = pairs.select("q", "id", apart.alias("distance"), F.spark_partition_id().alias("_p"))
-    local = W.partitionBy("q", "_p").orderBy("distance", "id")
-    few = pairs.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)
-    return few.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= k).select("q", "id", "distance", "rank")
+    stated side and are sent to all; each task keeps k points a query, so no pair beyond those is a row. Rows without a
+    vector, or with a null in it, are left out; all vectors have to be of one length."""
+    import numpy as np
+
+    spark = points.sparkSession
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
+    asked = queries.where(whole(vec)).select(F.col(q).alias("q"), F.col(vec).cast("array<double>").alias("vec")).toArrow()
+    n = asked.num_rows
+    names = spark.createDataFrame(asked.select(["q"]).append_column("_n", [list(range(n))])) if n else queries.select(F.col(q).alias("q"), F.lit(0).cast("long").alias("_n")).limit(0)
+    a = np.stack(asked.column("vec").to_numpy()) if n else np.zeros((0, 1))
+    rows = points.where(whole(vec)).select(F.col(id_).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    kind = rows.schema["id"].dataType.simpleString()
+    few = rows.mapInPandas(_nearest(spark.sparkContext.broadcast(a), k), f"q long, id {kind}, distance double").withColumnRenamed("q", "_n")
+    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("_n").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return ranked.join(names, "_n").select("q", "id", "distance", "rank")
 
 
 def kmeans(points: DataFrame, k: int, id_: str = "id", vec: str = "vec", rounds: int = 20) -> DataFrame:
