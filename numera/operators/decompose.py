@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linalg import gram, matmul
+from .linalg import gram_of, times
 
 #: Columns beyond this are an error, as their products would not fit the driver.
 COLUMNS = 2048
@@ -23,7 +23,7 @@ def _products(a: DataFrame, columns: int):
     if columns > COLUMNS:
         raise ValueError(f"{columns} columns: at most {COLUMNS}")
     g = np.zeros((columns, columns))
-    got = gram(a.dropna(subset=["i", "j", "v"])).select("i", "j", "v").toArrow()
+    got = gram_of(a.dropna(subset=["i", "j", "v"]), columns).select("i", "j", "v").toArrow()
     g[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
     return (g + g.T) / 2
 
@@ -46,7 +46,7 @@ def svd(a: DataFrame, columns: int, tolerance: float = 1e-7) -> tuple[DataFrame,
     kept = w > tolerance * max(w.max(initial=0.0), 1e-300)
     w, v = w[kept], v[:, kept]
     s = spark.createDataFrame([(k, float(x)) for k, x in enumerate(w)], "k long, s double")
-    return matmul(a, _table(spark, v / w)), s, _table(spark, v)
+    return times(a, columns, v / w), s, _table(spark, v)
 
 
 def qr(a: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +61,7 @@ def qr(a: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
         except np.linalg.LinAlgError as e:
             raise ValueError("the columns depend on each other") from e
         r = step @ r
-        q = matmul(a, _table(spark, np.linalg.inv(r)))
+        q = times(a, columns, np.linalg.inv(r))
     return q, _table(spark, r)
 
 

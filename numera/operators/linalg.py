@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Numbers of a matrix that a task holds as an array at a time.
+DENSE = 1 << 20
+
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -15,6 +18,56 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def _packed(a: DataFrame, columns: int, made, schema: str) -> DataFrame:
+    """made(i, dense rows) of the rows of a, some at a time; a row has to be in one place first, and fits a task."""
+    rows = a.select(F.col("i").alias("i"), "j", "v").repartition("i").groupBy("i").agg(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))).alias("r"))
+
+    def batches(it):
+        import numpy as np
+        import pyarrow as pa
+
+        def dense():
+            for b in it:
+                lists = b.column("r")
+                of, entries = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
+                for at in range(0, b.num_rows, max(1, DENSE // columns)):
+                    n = min(max(1, DENSE // columns), b.num_rows - at)
+                    some = np.flatnonzero((of >= at) & (of < at + n))
+                    m = np.zeros((n, columns))
+                    np.add.at(m, (of[some] - at, entries.field("j").to_numpy()[some]), entries.field("v").to_numpy()[some])
+                    yield b.column("i").slice(at, n), m
+
+        yield from made(dense(), np, pa)
+
+    return rows.mapInArrow(batches, schema)
+
+
+def gram_of(a: DataFrame, columns: int) -> DataFrame:
+    """The transpose of a by a, of a matrix with j from 0 to columns - 1: a task sends one row an entry of the product."""
+
+    def products(dense, np, pa):
+        g = np.zeros((columns, columns))
+        for _, m in dense:
+            g += m.T @ m
+        i, j = np.nonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(g[i, j])], ["i", "j", "v"])
+
+    return _packed(a, columns, products, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def times(a: DataFrame, columns: int, m) -> DataFrame:
+    """a by a small matrix, a numpy array with one row a column of a: every row of the product is made in one place, so
+    nothing is added up by (i, j)."""
+
+    def products(dense, np, pa):
+        for i, rows in dense:
+            out = rows @ m
+            at = pa.array(np.repeat(np.arange(len(out)), m.shape[1]))
+            yield pa.RecordBatch.from_arrays([i.take(at), pa.array(np.tile(np.arange(m.shape[1]), len(out)), pa.int64()), pa.array(out.ravel())], ["i", "j", "v"])
+
+    return _packed(a, columns, products, f"i {a.schema['i'].dataType.simpleString()}, j long, v double")
+
+
 def gram(a: DataFrame) -> DataFrame:
     """The transpose of a by a: rows are packed first, so that only one row of a is expanded at a time."""
     rows = a.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("r"))
@@ -22,6 +75,16 @@ def gram(a: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("x.j").alias("i"), F.col("y.j").alias("j")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("v"))
 
 
+def tall_matmul(a: DataFrame, b: DataFrame, columns: int) -> DataFrame:
+    """matmul of a tall matrix by a small one, columns by columns, which goes to the driver and to the tasks."""
+    import numpy as np
+
+    m = np.zeros((columns, columns))
+    got = b.select("i", "j", "v").toArrow()
+    np.add.at(m, (got["i"].to_numpy(), got["j"].to_numpy()), got["v"].to_numpy())
+    return times(a, columns, m)
+
+
 def add(a: DataFrame, b: DataFrame, scale: float = 1.0) -> DataFrame:
     return a.select("i", "j", "v").unionByName(b.select("i", "j", (F.col("v") * scale).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
 

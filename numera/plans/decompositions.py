@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decompose
-from ..operators.linalg import matmul, transpose
+from ..operators.linalg import tall_matmul, transpose
 from ..sources.tables import MATRIX_SQL, matrix, table
 from .registry import query
 
@@ -14,13 +14,13 @@ from .registry import query
 def linalg_svd(spark, d):
     u, s, v = decompose.svd(matrix(spark, d), 64)
     scaled = u.join(s.withColumnRenamed("k", "j"), "j").select("i", "j", (F.col("v") * F.col("s")).alias("v"))
-    return matmul(scaled, transpose(v))
+    return tall_matmul(scaled, transpose(v), 64)
 
 
 @query("i j", "v", f"SELECT i, j, v FROM ({MATRIX_SQL})", 4)
 def linalg_qr(spark, d):
     q, r = decompose.qr(matrix(spark, d), 64)
-    return matmul(q, r)
+    return tall_matmul(q, r, 64)
 
 
 @query("j", "x", "SELECT unnest(range(64)) AS j, unnest(range(1, 65)) * n / 97000 AS x FROM (SELECT count(*) AS n FROM embeddings)", 5)
