@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,35 +20,33 @@ def _binary(f):
 
 
 def _rle(b: bytes) -> bytes:
-    from itertools import groupby
-
-    out = bytearray()
-    for v, run in groupby(b):
-        n = sum(1 for _ in run)
-        while n:
-            out += bytes((min(n, 255), v))
-            n -= min(n, 255)
-    return bytes(out)
+    x = np.frombuffer(b, np.uint8)
+    if not len(x):
+        return b""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    n = np.diff(np.append(starts, len(x)))
+    pieces = -(-n // 255)
+    out = np.empty((pieces.sum(), 2), np.uint8)
+    out[:, 0], out[:, 1] = 255, np.repeat(x[starts], pieces)
+    out[np.cumsum(pieces) - 1, 0] = n - 255 * (pieces - 1)  # a run's last piece holds what is left
+    return out.tobytes()
 
 
 def _unrle(b: bytes) -> bytes:
-    return b"".join(bytes([b[i + 1]]) * b[i] for i in range(0, len(b) - 1, 2))
+    x = np.frombuffer(b, np.uint8)[: len(b) // 2 * 2]
+    return np.repeat(x[1::2], x[::2]).tobytes()
 
 
 def _delta(b: bytes) -> bytes:
-    return bytes((x - y) % 256 for x, y in zip(b, b"\0" + b))
+    return np.diff(np.frombuffer(b, np.uint8), prepend=np.uint8(0)).tobytes()
 
 
 def _undelta(b: bytes) -> bytes:
-    out, last = bytearray(), 0
-    for x in b:
-        last = (last + x) % 256
-        out.append(last)
-    return bytes(out)
+    return np.cumsum(np.frombuffer(b, np.uint8), dtype=np.uint8).tobytes()
 
 
-def _move_to_front(b: bytes) -> bytes:
-    order, out = list(range(256)), bytearray()
+def _move_to_front(b: bytes, order: list) -> bytes:
+    out = bytearray()
     for x in b:
         i = order.index(x)
         out.append(i)
@@ -55,8 +54,8 @@ def _move_to_front(b: bytes) -> bytes:
     return bytes(out)
 
 
-def _from_front(b: bytes) -> bytes:
-    order, out = list(range(256)), bytearray()
+def _from_front(b: bytes, order: list) -> bytes:
+    out = bytearray()
     for i in b:
         x = order.pop(i)
         out.append(x)
@@ -64,6 +63,57 @@ def _from_front(b: bytes) -> bytes:
     return bytes(out)
 
 
+def _together(texts: list, one, many) -> list:
+    """What one makes of each text, where many does it for some of like length at a time."""
+    out: list = [None] * len(texts)
+    known = sorted((k for k, b in enumerate(texts) if b is not None), key=lambda k: -len(texts[k]))
+    for at in range(0, len(known), TOGETHER):
+        some = known[at : at + TOGETHER]
+        codes = [np.frombuffer(texts[k], np.uint8) for k in some]
+        # steps in which too few texts are left are cheaper one text at a time
+        upto = len(codes[FEW - 1]) if len(some) >= FEW else 0
+        made, orders = many([c[:upto] for c in codes], upto)
+        for k, c, m, order in zip(some, codes, made, orders):
+            out[k] = m.tobytes() + (one(c[upto:].tobytes(), order.tolist()) if len(c) > upto else b"")
+    return out
+
+
+#: Texts that are coded together, and the least number of them for which that is worth it.
+TOGETHER, FEW = 256, 16
+
+
+def _step_by_step(codes: list, upto: int, decode: bool):
+    """The codes of texts in order of length, all symbols of one place at a time; and the symbols' order at the end."""
+    rank = np.tile(np.arange(256, dtype=np.uint8), (len(codes), 1))
+    x = np.zeros((upto, len(codes)), np.uint8)
+    for k, c in enumerate(codes):
+        x[: len(c), k] = c
+    out, rows = np.zeros_like(x), np.arange(len(codes))
+    alive = np.searchsorted(-np.array([len(c) for c in codes]), -np.arange(1, upto + 1), side="right")
+    for t in range(upto):
+        n = alive[t]
+        now, r, row = x[t, :n], rank[:n], rows[:n]
+        if decode:
+            symbol, place = (r == now[:, None]).argmax(1), now
+            out[t, :n] = symbol
+        else:
+            symbol, place = now, r[row, now]
+            out[t, :n] = place
+        r += r < place[:, None]
+        r[row, symbol] = 0
+    return [out[: len(c), k] for k, c in enumerate(codes)], rank.argsort(1)
+
+
+def _all(one, decode: bool):
+    import pandas as pd
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(_together(x.tolist(), one, lambda codes, upto: _step_by_step(codes, upto, decode)), index=x.index, dtype=object)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "binary")
+
+
 def rle_encode(c: Column) -> Column:
     """Pairs of run length (up to 255) and byte."""
     return _binary(_rle)(c)
@@ -82,18 +132,17 @@ def delta_decode(c: Column) -> Column:
 
 
 def move_to_front(c: Column) -> Column:
-    return _binary(_move_to_front)(c)
+    return _all(_move_to_front, False)(c)
 
 
 def move_from_front(c: Column) -> Column:
-    return _binary(_from_front)(c)
+    return _all(_from_front, True)(c)
 
 
 def symbol_counts(df: DataFrame, c: str) -> DataFrame:
     """byte, n over all rows: each batch counts its own bytes, so at most 256 rows a batch are shuffled."""
 
     def run(it):
-        import numpy as np
         import pyarrow as pa
 
         total = np.zeros(256, np.int64)
