@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of weights: with 1,000 resamples, 16 MB.
 BLOCK = 2_048
+#: Rows that are drawn at a time, and the binary digits of a draw that are looked up.
+ROWS, FIRST_BITS = 32, 12
+FIRST = 1 << FIRST_BITS
 
 
 def weights(hashes, resamples: int, seed: int):
@@ -18,11 +21,29 @@ def weights(hashes, resamples: int, seed: int):
         total, p = total + p, p / k
         limits.append(total)
     steps = (np.arange(1, resamples + 1, dtype=np.uint64) + np.uint64(resamples * seed)) * np.uint64(0x9E3779B97F4A7C15)
-    z = hashes.astype(np.uint64)[:, None] ^ steps[None, :]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of a public mixing function
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    z ^= z >> np.uint64(31)
-    return np.searchsorted(np.array(limits), (z >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+    limits = np.array(limits)
+    # the first digits of a draw tell its weight, but for those that a limit cuts in two
+    first = np.arange(FIRST + 1) / FIRST
+    low, high = np.searchsorted(limits, first[:-1], side="right"), np.searchsorted(limits, np.nextafter(first[1:], 0), side="right")
+    table, cut = low.astype(np.uint8), low != high
+    out = np.empty((len(hashes), resamples))
+    hashes = hashes.astype(np.uint64)
+    for at in range(0, len(hashes), ROWS):  # few enough for a processor's cache
+        z = hashes[at : at + ROWS, None] ^ steps[None, :]
+        t = np.empty_like(z)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of a public mixing function
+            np.right_shift(z, np.uint64(shift), out=t)
+            z ^= t
+            z *= np.uint64(factor)
+        np.right_shift(z, np.uint64(31), out=t)
+        z ^= t
+        np.right_shift(z, np.uint64(64 - FIRST_BITS), out=t)
+        k = t.view(np.int64)
+        w = table[k]
+        some = np.nonzero(cut[k])
+        w[some] = np.searchsorted(limits, (z[some] >> np.uint64(11)) / 2.0**53, side="right")
+        out[at : at + ROWS] = w
+    return out
 
 
 def bootstrap_ci(df: DataFrame, x: str, id_: str, by: list[str] | None = None, level: float = 0.95, resamples: int = 1000, seed: int = 42, statistic: str = "mean") -> DataFrame:
