@@ -9,6 +9,8 @@ from .running import running_sums, written
 
 #: Rows of a block of neighbouring x whose pairs are counted within one task.
 BLOCK = 1 << 15
+#: Rows of all bits that a task makes, about.
+EXPLODED = 2_000_000
 
 
 def _surplus(x, y, n):
@@ -69,7 +71,9 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     bits = int(last).bit_length()
     parts = inner
     if bits:
-        each = placed.groupBy("block", "y").agg(F.sum("n").alias("n")).withColumn("bit", F.explode(F.array(*(F.lit(k) for k in range(bits)))))
+        # by y, so that the rows of all bits are added up where they are made, and few enough in a task
+        dealt = placed.groupBy("block", "y").agg(F.sum("n").alias("n")).repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() * bits // EXPLODED)), "y")
+        each = dealt.withColumn("bit", F.explode(F.array(*(F.lit(k) for k in range(bits)))))
         up = F.expr("shiftright(block, bit) & 1")
         sides = each.groupBy("bit", F.expr("shiftright(block, bit + 1)").alias("above"), "y").agg(F.sum(F.when(up == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(up == 1, F.col("n")).otherwise(0)).alias("b"))
         sides = running_sums(sides, ["bit", "above"], [F.col("y")], {"upto": "a"})
