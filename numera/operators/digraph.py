@@ -11,6 +11,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parts import by_size, parted
 from .running import running_sums, written
 
 log = logging.getLogger("numera.graph")
@@ -43,9 +44,63 @@ def _coloured(arcs: DataFrame, seed: int) -> tuple[DataFrame, int]:
             return now, rounds
 
 
+def _strong(src, dst):
+    """ids, and of each the least one that lies on cycles with it, by the colours of strongly_connected_components."""
+    import numpy as np
+
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    a, b = a[a != b], b[a != b]
+    root, draw = np.arange(len(ids)), np.random.default_rng(1)
+    while len(a):
+        f = draw.permutation(len(ids))
+        of, back = np.argsort(f), f.copy()
+        while True:
+            f1, b1 = f.copy(), back.copy()
+            np.minimum.at(f1, b, f[a])
+            np.minimum.at(b1, a, back[b])
+            f1, b1 = np.minimum(f1, f1[of[f1]]), np.minimum(b1, b1[of[b1]])
+            if np.array_equal(f, f1) and np.array_equal(back, b1):
+                break
+            f, back = f1, b1
+        done = f == back
+        live = np.zeros(len(ids), bool)
+        live[a] = live[b] = True
+        root[live & done] = of[f[live & done]]
+        stay = (f[a] == f[b]) & (back[a] == back[b]) & ~done[a]
+        a, b = a[stay], b[stay]
+    least = np.arange(len(ids))
+    np.minimum.at(least, root, np.arange(len(ids)))
+    return ids, ids[least[root]]
+
+
+def _strong_tasks(it):
+    import pyarrow as pa
+
+    held = list(it)
+    t = pa.Table.from_batches(held) if held else None
+    if t is not None and t.num_rows:
+        found = _strong(t.column(0).to_numpy(), t.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["id", "component"])
+
+
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every vertex. An empty graph gives an empty result.
 
+    What hangs together in few arcs is solved in a task that holds it whole, larger parts by strong_by_rounds(); so are all
+    vertices that are not numbers.
+    """
+    kinds = dict(edges.dtypes)
+    if {kinds["src"], kinds["dst"]} != {"bigint"}:
+        return strong_by_rounds(edges)
+    small, large, tasks = by_size(parted(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")))
+    found = small.repartition(tasks, "_part").select("src", "dst").mapInArrow(_strong_tasks, "id long, component long")
+    return found if large.isEmpty() else found.unionByName(strong_by_rounds(large))
+
+
+def strong_by_rounds(edges: DataFrame) -> DataFrame:
+    """As strongly_connected_components, for parts of any size.
+
     Vertices are put in a random order. Each takes as its colours the least vertex that reaches it and the least that it
     reaches; where both are one, it lies on a cycle with that vertex, and with all others of these colours. Arcs between
     different colours lie on no cycle: they go, as do settled vertices and those without arcs to them or from them, and

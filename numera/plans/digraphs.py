@@ -14,12 +14,11 @@ def _chains(spark, d, steps=(1,), back=None):
     """Each customer's orders in time: arcs to the next ones, and back from urgent orders to the order two before."""
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderpriority") < "3").alias("urgent"), *(F.lead("o_orderkey", k).over(w).alias(f"next{k}") for k in steps), *(F.lead("o_totalprice", k).over(w).alias(f"price{k}") for k in steps), F.lag("o_orderkey", 2).over(w).alias("before"))
-    arcs = [o.select(F.col("o_orderkey").alias("src"), F.col(f"next{k}").alias("dst"), F.abs(F.col(f"price{k}") - F.col("o_totalprice")).alias("w")) for k in steps]
+    # all arcs of a row are made where it lies, so that those of a customer stay together
+    arcs = [F.struct(F.col(f"next{k}").alias("dst"), F.abs(F.col(f"price{k}") - F.col("o_totalprice")).cast("double").alias("w")) for k in steps]
     if back:
-        arcs.append(o.where("urgent").select(F.col("o_orderkey").alias("src"), F.col("before").alias("dst"), F.lit(1.0).alias("w")))
-    out = arcs[0]
-    for a in arcs[1:]:
-        out = out.unionByName(a)
+        arcs.append(F.struct(F.when(F.col("urgent"), F.col("before")).alias("dst"), F.lit(1.0).alias("w")))
+    out = o.select(F.col("o_orderkey").alias("src"), F.explode(F.array(*arcs)).alias("a")).select("src", "a.dst", "a.w")
     return out.where("dst IS NOT NULL")
 
 
