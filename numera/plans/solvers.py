@@ -22,10 +22,11 @@ def _orders(spark, d):
 
 def _spd(spark, d):
     link, i, j, b, o = _orders(spark, d)
-    a = o.select(F.col("o_orderkey").alias("i"), F.col("o_orderkey").alias("j"), F.lit(1.0).alias("v"))
-    for x, y, sign in ((i, j, -1), (F.col("next").alias("i"), F.col("o_orderkey").alias("j"), -1), (i, F.col("o_orderkey").alias("j"), 1), (F.col("next").alias("i"), j, 1)):
-        a = a.unionByName(link.select(x, y, (sign * F.col("s")).alias("v")))
-    return a, b
+    own, next_, s = F.col("o_orderkey"), F.col("next"), F.col("s")
+    # all entries of a row are made where it lies, so that those of a customer stay together
+    entries = [(own, own, F.lit(1.0)), *((x, y, F.when(next_.isNotNull(), sign * s)) for x, y, sign in ((own, next_, -1), (next_, own, -1), (own, own, 1), (next_, next_, 1)))]
+    made = F.explode(F.array(*(F.struct(x.alias("i"), y.alias("j"), v.alias("v")) for x, y, v in entries)))
+    return o.select(made.alias("a")).select("a.*").where("v IS NOT NULL"), b
 
 
 @query("i", "b", "SELECT o_orderkey AS i, o_totalprice / 1000 AS b FROM orders", 5)

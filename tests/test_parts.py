@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from numera.operators import digraph, parts
+from numera.operators import digraph, krylov, parts
 
 
 def _strong(arcs):
@@ -56,3 +56,39 @@ def test_a_long_cycle_in_a_task():
     n = 20_000
     ids, found = digraph._strong(np.arange(n), (np.arange(n) + 1) % n)
     assert (found == 0).all() and len(ids) == n
+
+
+def _springs(n_chains, length):
+    m = np.eye(n_chains * length)
+    for c in range(n_chains):
+        for k in range(c * length, (c + 1) * length - 1):
+            m[np.ix_([k, k + 1], [k, k + 1])] += np.array([[1, -1], [-1, 1]]) * (1 + k % 5)
+    return m
+
+
+@pytest.mark.parametrize("whole", [0, 30, 1 << 17])
+def test_cg_of_small_and_large_parts(spark, monkeypatch, whole):
+    monkeypatch.setattr(parts, "WHOLE", whole)
+    # chains of 6, and one of 16 that has more than 30 entries
+    m = np.zeros((46, 46))
+    m[:30, :30], m[30:, 30:] = _springs(5, 6), _springs(1, 16)
+    b = np.arange(46.0) - 7
+    b[3] = 0
+    # an entry that is the sum of two, nulls, and an unknown without a right-hand side
+    a = [(i, j, float(v) / 2) for (i, j), v in np.ndenumerate(m) if v for _ in range(2)] + [(None, 1, 1.0), (1, None, 1.0), (1, 2, None)]
+    rhs = [(i, float(x)) for i, x in enumerate(b) if i != 3] + [(None, 1.0), (2, None)]
+    got = krylov.cg(spark.createDataFrame(a, "i long, j long, v double").repartition(5), spark.createDataFrame(rhs, "i long, v double"))
+    x = {r["j"]: r["x"] for r in got.x.collect()}
+    assert got.x.count() == len(x) == 46 and got.residual < 1e-10
+    assert np.allclose([x[k] for k in range(46)], np.linalg.solve(m, b))
+
+
+def test_cg_of_small_parts_takes_no_rounds(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("rounds for small parts")
+
+    monkeypatch.setattr(krylov, "cg_by_rounds", fail)
+    m = _springs(6, 5)
+    a = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m) if v], "i long, j long, v double")
+    got = krylov.cg(a, spark.createDataFrame([(i, 1.0) for i in range(30)], "i long, v double"))
+    assert np.allclose([r["x"] for r in got.x.orderBy("j").collect()], np.linalg.solve(m, np.ones(30)))
