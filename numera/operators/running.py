@@ -37,6 +37,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 #: hold many times as much.
 BROADCAST_FILES = 1 << 16
 
+#: Running totals of more rows are not broadcast unless asked for: their size is guessed from compressed files.
+BROADCAST_ROWS = 100_000
+
 #: Rows of a range of running_sums, about: more rows make more ranges, not larger ones.
 RANGE = 1_000_000
 
@@ -83,14 +86,22 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
     the earlier ranges hold. Equal keys share a range, so a value that many rows share has to be counted first.
     """
     df = written(df)  # so that it is made once, to be counted, sampled and dealt
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
+    n = df.count()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
     ranged = checkpointed(df.repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn(before, F.spark_partition_id()))
     dropped(df)
-    totals = ranged.groupBy(before, *by).agg(*(F.sum(c).alias(t) for t, c in sums.items()))
-    earlier = W.partitionBy(*by).orderBy(before).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(before, *by, *(F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_carry{k}") for k, t in enumerate(sums)))
+    # only the last group of a range goes on in the next one, so one row a range is all that is carried
+    last = ranged
+    if by:
+        ends = ranged.groupBy(before).agg(F.max(F.struct(*by)).alias("_last"))
+        same = reduce(lambda a, b: a & b, [ranged[c].eqNullSafe(F.col("_last")[c]) for c in by])
+        last = ranged.join(F.broadcast(ends.withColumnRenamed(before, "_end")), (ranged[before] == F.col("_end")) & same)
+    totals = last.groupBy(before).agg(*(F.any_value(c).alias(c) for c in by), *(F.sum(c).alias(t) for t, c in sums.items()))
+    upto = W.partitionBy(*by).orderBy(before).rowsBetween(W.unboundedPreceding, 0)
+    carry = totals.select(F.lead(before).over(W.orderBy(before)).alias("_next"), *(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), *(F.sum(t).over(upto).alias(f"_carry{k}") for k, t in enumerate(sums)))
     own = W.partitionBy(before, *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = ranged.withColumns({t: F.sum(c).over(own) for t, c in sums.items()})
-    same = reduce(lambda a, b: a & b, [local[c].eqNullSafe(carry[c]) for c in (before, *by)])
-    joined = local.join(carry, same)
-    return joined.select(*(local[c] for c in df.columns), *((local[t] + F.col(f"_carry{k}")).alias(t) for k, t in enumerate(sums)))
+    same = reduce(lambda a, b: a & b, [local[c].eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], local[before] == F.col("_next"))
+    joined = local.join(F.broadcast(carry), same, "left")
+    out = joined.select(*(local[c] for c in df.columns), *((local[t] + F.coalesce(F.col(f"_carry{k}"), F.lit(0))).alias(t) for k, t in enumerate(sums)))
+    return out if n <= BROADCAST_ROWS else out.hint("merge")

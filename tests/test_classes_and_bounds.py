@@ -80,3 +80,19 @@ def test_gmres_leaves_no_table_of_an_earlier_round(spark, monkeypatch):
     assert found.rounds == 4 and found.x.count() == n
     left = [t for t in made if os.path.exists(t._written_at.toUri().getPath())]
     assert len(made) > 8 and left == made[-1:]
+
+
+def test_running_sums_carry_one_row_a_range(spark, monkeypatch):
+    from numera.operators import running
+
+    monkeypatch.setattr(running, "RANGE", 100)
+    monkeypatch.setattr(running, "BROADCAST_ROWS", 100)
+    # groups of one row, one that fills ranges, null and the same group at the end of ranges
+    rows = [(g, x) for g, n in [(None, 130), *((k, 1 + k % 3) for k in range(200)), (200, 700), (201, 5)] for x in range(n)]
+    df = spark.createDataFrame(rows, "g long, x long").selectExpr("g", "x", "x + 1 AS n")
+    got = running.running_sums(df, ["g"], [F.col("x")], {"t": "n"})
+    assert all(r["t"] == (r["x"] + 1) * (r["x"] + 2) // 2 for r in got.collect()) and got.count() == len(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "rightHint=(strategy=broadcast)" in plan
+    joined = df.join(got.withColumnRenamed("n", "m"), ["g", "x"])
+    assert "BroadcastHashJoin [g" not in joined._jdf.queryExecution().executedPlan().toString()
