@@ -178,14 +178,15 @@ def step(p, prior, slots, at, classes):
     hs = h.reshape(-1, WIDTH)[at]
     u = np.maximum(hs @ p["up"] + p["up_bias"], 0)
     h2 = np.clip(free := hs + u @ p["down"], -BOUND, BOUND)
-    y = h2 @ p["last"] + p["last_bias"] + prior[slots.ravel()[at]]
-    y -= y.max(1, keepdims=True)
-    e = np.exp(y)
-    total = e.sum(1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - y[np.arange(n), classes]).mean())
-    dy = e / total
-    dy[np.arange(n), classes] -= 1
-    dy /= n
+    y = h2 @ p["last"]
+    y += p["last_bias"]
+    y += prior[slots.ravel()[at]]
+    own = y[np.arange(n), classes]
+    dy = np.exp(y, out=y)
+    total = y @ np.ones(CLASSES, np.float32)
+    loss = float((np.log(total) - own).mean())
+    dy *= (1 / (total * n))[:, None]
+    dy[np.arange(n), classes] -= np.float32(1 / n)
     g["last"], g["last_bias"] = h2.T @ dy, dy.sum(0)
     dh2 = (dy @ p["last"].T) * (np.abs(free) < BOUND)
     du = (dh2 @ p["down"].T) * (u > 0)
@@ -194,9 +195,11 @@ def step(p, prior, slots, at, classes):
     dh[at] = dh2 + du @ p["up"].T
     g["out"] = z.reshape(-1, WIDTH).T @ dh
     dz = (dh @ p["out"].T).reshape(z.shape)
-    da = dz @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.sqrt(WIDTH)
+    ds = dz @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds *= a
+    ds *= np.float32(1 / np.sqrt(WIDTH))
     dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], -1).reshape(-1, 3 * WIDTH)
     g["qkv"] = x.reshape(-1, WIDTH).T @ dqkv
     dx = (dh + dqkv @ p["qkv"].T).reshape(x.shape)

@@ -2,9 +2,9 @@
 
 A word count over all training texts gives the base model, and, through the subword ids of each distinct word, what the
 neural model needs of the corpus: how often ids occur and follow each other. The ids of a frequent word are predicted in
-one step, those of other words one by one. The neural model is then trained on a share of the training texts that grows
-with the input: they are dealt by hash to shards of a fixed size, each starts from the same weights, and the shards'
-weights are averaged after each round. So the result does not depend on partitions.
+one step, those of other words one by one. The neural model is then trained on all training texts: they are dealt by
+hash to shards of a fixed size, each starts from the same weights, and the shards' weights are averaged after each round.
+So the result does not depend on partitions.
 Scoring cuts each text's ids into overlapping context windows and scores each id in one of them.
 """
 
@@ -21,8 +21,8 @@ from .common import fold, materialize, table
 
 #: Rows whose checksum leaves 2 by 7 are never learnt from.
 FOLDS, HELD_OUT = 7, 2
-#: Tokens that the neural model is trained on: about these, and a share of all.
-TRAIN_TOKENS, TRAIN_SHARE = 3_000_000, 1 / 32
+#: Corpora of fewer tokens are gone through several times by the neural model, larger ones once.
+TRAIN_TOKENS = 3_000_000
 #: Texts are trained on in so many rounds, after each of which the tasks' weights are averaged.
 ROUNDS, PASSES = 2, 5
 #: Words that make up at least one in so many tokens are sent to the executors with their counts: no more words than this.
@@ -179,8 +179,12 @@ def _company(shared):
                 own, lead = v.own[x], v.leader[x]
                 o = np.bincount(text[own >= 0] * causal.OWN_CLASS + own[own >= 0], minlength=len(some) * causal.OWN_CLASS).reshape(len(some), -1)
                 o = o / np.maximum(o.sum(1, keepdims=True), 1)
-                met, n = np.unique(text[lead >= 0] * causal.LEADERS + lead[lead >= 0], return_counts=True)
-                np.add.at(total, met % causal.LEADERS, np.minimum(n, 5)[:, None] * o[met // causal.LEADERS])
+                text, lead = text[lead >= 0], lead[lead >= 0]
+                here = np.zeros(causal.LEADERS, bool)
+                here[lead] = True
+                row = np.cumsum(here) - 1
+                met = np.bincount(row[lead] * len(some) + text, minlength=int(here.sum()) * len(some)).reshape(-1, len(some))
+                total[here] += np.minimum(met, 5).astype(float) @ o
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.float64())], ["k", "x"])
 
@@ -279,7 +283,7 @@ def _train(shared, weights, round_: int):
     return batches
 
 
-def _trained(spark: SparkSession, texts: DataFrame, shared, train_tokens: int, share: float):
+def _trained(spark: SparkSession, texts: DataFrame, shared, train_tokens: int):
     """The averaged weights after all rounds. texts: _text, _h (uniform in 0..1 by row); shared: as a broadcast."""
     import numpy as np
 
@@ -288,9 +292,9 @@ def _trained(spark: SparkSession, texts: DataFrame, shared, train_tokens: int, s
     flat = causal.flatten(causal.fresh())
     # small corpora are gone through several times
     passes = max(1, min(PASSES, round(TRAIN_TOKENS / max(train_tokens, 1))))
-    shards = max(1, round(train_tokens * share / ROUNDS / SHARD_TOKENS))
+    shards = max(1, round(train_tokens / ROUNDS / SHARD_TOKENS))
     parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = texts.where(F.col("_h") < share).select((F.col("_h") / share * ROUNDS).cast("int").alias("_round"), F.pmod(F.xxhash64("_h"), F.lit(shards)).alias("_shard"), "_h", "_text")
+    dealt = texts.select((F.col("_h") * ROUNDS).cast("int").alias("_round"), F.pmod(F.xxhash64("_h"), F.lit(shards)).alias("_shard"), "_h", "_text")
     dealt = materialize(dealt, "training")
     for r in range(ROUNDS * passes):
         some = dealt.where(F.col("_round") == r % ROUNDS).repartition(parts, "_shard").sortWithinPartitions("_shard", "_h", "_text").select("_shard", "_text")
@@ -389,11 +393,10 @@ def lm_scores(docs: DataFrame, tokenizer: str, carry: list[str], train: Column,
     pairs = materialize(words.where(F.col("n") < least).mapInArrow(_pairs(tokenizer, n_ids), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     logs = np.log10(np.array([frequent[w] for w in ordered], float) + 1)
     shared = Shared(uuid.uuid4().hex, tokenizer, end_id, n_ids, ordered, n_steps, None, logs, train_tokens, types, n_docs)
-    share = min(1.0, TRAIN_SHARE + TRAIN_TOKENS / max(train_tokens, 1))
     _learn_vocabulary(shared, pairs, [frequent[w] for w in ordered[:n_steps]], n_docs, learn.select("_text"))
     chosen = learn.withColumn("_h", F.pmod(F.xxhash64(F.to_json("_doc"), "_text"), F.lit(1_000_003)) / 1_000_003)
     sent = spark.sparkContext.broadcast(shared)  # once: training and scoring differ in the weights alone
-    weights = spark.sparkContext.broadcast(_trained(spark, chosen, sent, train_tokens, share))
+    weights = spark.sparkContext.broadcast(_trained(spark, chosen, sent, train_tokens))
 
     schema = f"_doc {rows.schema['_doc'].dataType.simpleString()}, n_tokens long, n_known long, part double, score double, rare array<binary>"
     scored = materialize(rows.select("_doc", "_text").mapInArrow(_score(sent, weights, 1), schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
