@@ -28,7 +28,8 @@ EXPECTED = 1_000_000
 PROBE_COST = 2.0
 #: A key under which more meet is hot; what fewer fingerprints share alone does not make a key hot.
 BUCKET, SHARED = 64, 4
-#: Of what is left apart under a hot key, as many pairs are compared without sketches, and as many without pieces.
+#: Of what is left apart under a hot key, as many pairs are compared at once where there are no sketches, and as many without
+#: pieces.
 PLAIN, WHOLE = 1 << 18, 1 << 26
 #: Keys up to this number are broadcast.
 BROADCAST_KEYS = 100_000
@@ -206,8 +207,8 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     sketch of some nodes; verify must keep no pair that may_be_similar leaves out.
 
     Under a key of few nodes, all are compared. Under others, all are first compared to one of them; then those that are
-    not of the component that most of the key's nodes have got are compared to the rest, where that is much only if their
-    sketches allow it, and where it is very much only if they also agree in one of distance + 1 pieces of the bits. A pair
+    not of the component that most of the key's nodes have got are compared to the rest, if their sketches allow it, and
+    where that is very much only if they also agree in one of distance + 1 pieces of the bits. A pair
     is made in the first partition and piece in which it meets. So a group of near copies costs about a comparison a node
     and key, not one a pair, and nothing is left out.
     """
@@ -254,10 +255,11 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
         return apart.join(as_(some, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close).where(once)
 
     pair = _pair("a_node", "b_node")
-    more = compared(met.where(F.col("work") <= PLAIN), once).select(*pair)
-    if not main.where(F.col("work") > PLAIN).isEmpty():
+    plain = 0 if sketches else PLAIN  # what sketches rule out is never made a pair, however few meet
+    more = None if sketches else compared(met.where(F.col("work") <= plain), once).select(*pair)
+    if sketches or not main.where(F.col("work") > plain).isEmpty():
         piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
-        crowd = met.where(F.col("work") > PLAIN)
+        crowd = met.where(F.col("work") > plain)
         if sketches:
             crowd = crowd.join(materialize(sketches(crowd.select("node").distinct()), "sketches"), "node")
         values = F.when(F.col("work") > WHOLE, F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).otherwise(F.array(F.lit(0).cast("long")))
@@ -265,7 +267,8 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
         split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value", "work")
         first_piece = " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
         met_twice = compared(split, f"{once} AND {first_piece}")
-        more = more.unionByName((met_twice.where(may_be_similar("a", "b")) if sketches else met_twice).select(*pair))
+        met_twice = (met_twice.where(may_be_similar("a", "b")) if sketches else met_twice).select(*pair)
+        more = more.unionByName(met_twice) if more is not None else met_twice
     more = materialize(more.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
     return links if more.isEmpty() else links.unionByName(materialize(verify(more), "links"))
 

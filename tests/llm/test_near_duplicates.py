@@ -129,3 +129,16 @@ def test_a_crowd_of_unlike_texts_is_told_apart_by_sketches(spark, monkeypatch, w
     got = simhash.near_links(nodes, verify=verify, sketches=lambda some: sketches.join(some, "node"))
     assert [tuple(r) for r in got.distinct().collect()] == [(38, 39)]
     assert sum(asked) < 5 * len(sets)
+
+
+def test_sketches_count_under_small_hot_keys_too(spark, monkeypatch):
+    """As a crowd of unlike texts, but no larger than what was once compared without sketches."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = np.random.default_rng(8)
+    sets = {k: rng.integers(-(2**62), 2**62, 300) for k in range(40)}
+    nodes = spark.createDataFrame([(k, 1 << k) for k in sets], "node long, fp long")
+    rows = [(k, len(np.unique(h)), np.frombuffer(simhash.sketch(h), "<i8").tolist()) for k, h in sets.items()]
+    sketches = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
+    asked = []
+    got = simhash.near_links(nodes, verify=lambda pairs: asked.append(pairs.count()) or pairs.limit(0), sketches=lambda some: sketches.join(some, "node"))
+    assert got.count() == 0 and sum(asked) < 5 * len(sets)
