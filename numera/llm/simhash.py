@@ -31,6 +31,8 @@ BUCKET, SHARED = 64, 4
 #: Of what is left apart under a hot key, as many pairs are compared at once where there are no sketches, and as many without
 #: pieces.
 PLAIN, WHOLE = 1 << 18, 1 << 26
+#: Where sketches tell pairs, under a hot key all are first compared to so many.
+PIVOTS = 4
 #: Keys up to this number are broadcast.
 BROADCAST_KEYS = 100_000
 #: Of a text's set of shingles, bits that tell whether an odd number of them falls there.
@@ -168,17 +170,17 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _near_values(part: int, value: Column, flips: list[int], own: int) -> Column:
-    """Array of (key, own, part) of the partition's values that the flips make of value; the first ones are own."""
-    key = lambda f, i: F.struct(F.xxhash64(F.lit(part), value.bitwiseXOR(f)).alias("key"), (i < own).alias("own"), F.lit(part).alias("part"))
+def _near_values(part: int, value: Column, flips: list[int]) -> Column:
+    """Array of (key, flips, part) of the partition's values that the flips make of value; flips: in how many bits they differ."""
+    key = lambda f: F.struct(F.xxhash64(F.lit(part), value.bitwiseXOR(f)).alias("key"), F.bit_count(f).cast("byte").alias("flips"), F.lit(part).alias("part"))
     # one constant, as plans with a literal for each of them take the driver's memory
     return F.transform(F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>"), key)
 
 
 def _probes(parts: list[tuple[list[int], int]]) -> Column:
-    """Array of (key, own, part) of a fingerprint fp: the values within half of each partition's threshold, rounded up; own
-    are those within half of it rounded down. Two fingerprints within the threshold meet under a key that one of them owns."""
-    return F.concat(*(_near_values(k, F.col("fp").bitwiseAND(F.lit(_mask(bits))), _ball(bits, (t + 1) // 2), len(_ball(bits, t // 2))) for k, (bits, t) in enumerate(parts)))
+    """Array of (key, flips, part) of a fingerprint fp: the values within half of each partition's threshold, rounded up.
+    Two fingerprints within the threshold meet half way: one goes half of their distance, rounded down, the other the rest."""
+    return F.concat(*(_near_values(k, F.col("fp").bitwiseAND(F.lit(_mask(bits))), _ball(bits, (t + 1) // 2)) for k, (bits, t) in enumerate(parts)))
 
 
 def _hot_keys(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
@@ -187,7 +189,7 @@ def _hot_keys(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
     shared = nodes.select(F.explode(values).alias("x")).groupBy("x.part", "x.value").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     around = None
     for k, (bits, t) in enumerate(parts):
-        keys = shared.where(F.col("part") == k).select("n", F.explode(_near_values(k, F.col("value"), _ball(bits, (t + 1) // 2), 0)).alias("x")).select("n", "x.key")
+        keys = shared.where(F.col("part") == k).select("n", F.explode(_near_values(k, F.col("value"), _ball(bits, (t + 1) // 2))).alias("x")).select("n", "x.key")
         around = keys if around is None else around.unionByName(keys)
     return around.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET).select("key")
 
@@ -197,6 +199,14 @@ def _first_part(parts: list[tuple[list[int], int]]) -> str:
     return " AND ".join(f"(a_part <= {k} OR bit_count((a_fp ^ b_fp) & {_mask(bits)}L) > {t})" for k, (bits, t) in enumerate(parts))
 
 
+def _half_way(parts: list[tuple[list[int], int]]) -> str:
+    """Whether a and b meet under a key that lies between their values, the lesser node not farther from it: of all keys
+    that both probe, these are one for distances of 0 and 1, two for 2. Which they are does not depend on which is a."""
+    of_part = lambda values: f"CASE a_part {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(values))} END"
+    apart = f"bit_count((a_fp ^ b_fp) & {of_part(f'{_mask(bits)}L' for bits, _ in parts)})"
+    return f"a_flips + b_flips = {apart} AND if(a_node < b_node, a_flips, b_flips) = {apart} div 2 AND {apart} <= {of_part(t for _, t in parts)}"
+
+
 def _pair(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
@@ -206,38 +216,44 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     to connect all that such pairs connect. nodes: node (distinct), fp long, in a written table. sketches gives node, n and
     sketch of some nodes; verify must keep no pair that may_be_similar leaves out.
 
-    Under a key of few nodes, all are compared. Under others, all are first compared to one of them; then those that are
-    not of the component that most of the key's nodes have got are compared to the rest, if their sketches allow it, and
-    where that is very much only if they also agree in one of distance + 1 pieces of the bits. A pair
-    is made in the first partition and piece in which it meets. So a group of near copies costs about a comparison a node
-    and key, not one a pair, and nothing is left out.
+    Under a key of few nodes, all are compared. Under others, all are first compared to one of them, or some where there are
+    sketches; then those that are not of the component that most of the key's nodes have got are compared to the rest, if
+    their sketches allow it, and where that is very much only if they also agree in one of distance + 1 pieces of the bits.
+    A pair is made in the first partition and piece in which it meets, under a key half way. So a group of near copies
+    costs about a comparison a node and key, not one a pair, and nothing is left out.
     """
     verify = verify or (lambda pairs: pairs)
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp"), "node").limit(SAMPLE).select("fp").collect()]
     parts = choose_partitions(sample, EXPECTED, distance)
     keyed = nodes.select("node", "fp", F.explode(_probes(parts)).alias("x")).select("node", "fp", "x.*")
     as_ = lambda df, a: df.select("key", *(F.col(c).alias(f"{a}_{c}") for c in df.columns if c != "key"))
-    close = F.expr(f"(a_own OR b_own) AND bit_count(a_fp ^ b_fp) <= {distance}")
+    close = F.expr(f"bit_count(a_fp ^ b_fp) <= {distance}")
+    if sketches:
+        close = close & may_be_similar("a", "b")
 
-    once = _first_part(parts)
+    once = f"{_half_way(parts)} AND {_first_part(parts)}"
     hot = materialize(_hot_keys(nodes, parts), "hot-keys")
     n_hot = hot.count()
     cold = keyed
     if n_hot:
         few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
         cold = keyed.join(few, "key", "left_anti")
-    pairs = as_(cold, "a").join(as_(cold, "b"), "key").where("a_node < b_node").where(close).where(once)
+    pairs = as_(cold, "a").join(as_(cold, "b"), "key").where("a_node < b_node").where(f"bit_count(a_fp ^ b_fp) <= {distance}").where(once)
     links = materialize(verify(materialize(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct(), "pairs")), "links")
     if not n_hot:
         return links
 
-    met = materialize(keyed.join(few, "key"), "met")
-    # the one that is nearest to the majority of a key's bits: where copies were each changed on their own, the original
+    met = materialize(keyed.join(few, "key", "left_semi"), "met")
+    if sketches:
+        met = materialize(met.join(materialize(sketches(met.select("node").distinct()), "sketches"), "node"), "met")
+    # those that are nearest to the majority of a key's bits: where copies were each changed on their own, the original
     ones = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"_{i}") for i in range(BITS)]
     middle = met.groupBy("key").agg(F.count("*").alias("_n"), *ones)
     middle = middle.select("key", sum((F.when(2 * F.col(f"_{i}") > F.col("_n"), F.lit(_mask([i]))).otherwise(0) for i in range(1, BITS)), F.when(2 * F.col("_0") > F.col("_n"), F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("middle"))
-    order = F.struct(F.expr("bit_count(fp ^ middle)").alias("far"), F.xxhash64("node").alias("h"), "node", "fp")
-    pivots = met.where("own").join(F.broadcast(middle) if n_hot <= BROADCAST_KEYS else middle, "key").groupBy("key").agg(F.min(order).alias("b")).select("key", F.col("b.node").alias("b_node"), F.col("b.fp").alias("b_fp"), F.lit(True).alias("b_own"))
+    told = ["node", "fp", *(["n", "sketch"] if sketches else [])]
+    order = F.struct(F.expr("bit_count(fp ^ middle)").alias("far"), F.xxhash64("node").alias("h"), *told)
+    spot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS if sketches else 1)).alias("spot")
+    pivots = met.join(F.broadcast(middle) if n_hot <= BROADCAST_KEYS else middle, "key").groupBy("key", spot).agg(F.min(order).alias("b")).select("key", *(F.col(f"b.{c}").alias(f"b_{c}") for c in told))
     pivots = F.broadcast(pivots) if n_hot <= BROADCAST_KEYS else pivots
     first = as_(met, "a").join(pivots, "key").where("a_node <> b_node").where(close)
     first = materialize(first.select(*_pair("a_node", "b_node")).distinct(), "pairs")
@@ -248,27 +264,29 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     met = materialize(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "met")
     main = met.groupBy("key", "root").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("main"), F.sum("_n").alias("all"), F.max("_n").alias("most"))
     main = materialize(main.where("all > most").select("key", "main", ((F.col("all") - F.col("most")) * F.col("all")).alias("work")), "main")
-    met = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key")
-
-    def compared(some: DataFrame, once: str) -> DataFrame:
-        apart = as_(some.where("root <> main"), "a")
-        return apart.join(as_(some, "b"), "key").where("a_root <> b_root AND (b_root = b_main OR a_node < b_node)").where(close).where(once)
-
-    pair = _pair("a_node", "b_node")
-    plain = 0 if sketches else PLAIN  # what sketches rule out is never made a pair, however few meet
-    more = None if sketches else compared(met.where(F.col("work") <= plain), once).select(*pair)
-    if sketches or not main.where(F.col("work") > plain).isEmpty():
-        piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
-        crowd = met.where(F.col("work") > plain)
-        if sketches:
-            crowd = crowd.join(materialize(sketches(crowd.select("node").distinct()), "sketches"), "node")
-        values = F.when(F.col("work") > WHOLE, F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).otherwise(F.array(F.lit(0).cast("long")))
-        split = crowd.select("*", F.posexplode(values).alias("piece", "value"))
-        split = split.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value", "work")
-        first_piece = " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
-        met_twice = compared(split, f"{once} AND {first_piece}")
-        met_twice = (met_twice.where(may_be_similar("a", "b")) if sketches else met_twice).select(*pair)
-        more = more.unionByName(met_twice) if more is not None else met_twice
+    apart = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key").where("root <> main")
+
+    def compared(some: DataFrame, others: DataFrame, once: str) -> DataFrame:
+        both = as_(some, "a").join(as_(others, "b"), "key").where("a_root <> b_root AND (b_root = a_main OR a_node < b_node)")
+        return both.where(close).where(once).select(*_pair("a_node", "b_node"))
+
+    plain = 0 if sketches else PLAIN
+    more = compared(apart.where(F.col("work") <= plain), met, once)
+    if not main.where(F.col("work") > plain).isEmpty():
+        crowd, others = apart.where(F.col("work") > plain), met
+        large = main.where(F.col("work") > WHOLE).select("key", F.lit(True).alias("large"))
+        if not large.isEmpty():
+            piece = [_mask(list(range(p, BITS, distance + 1))) for p in range(distance + 1)]
+            values = F.when(F.col("large"), F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in piece))).otherwise(F.array(F.lit(0).cast("long")))
+
+            def split(rows: DataFrame) -> DataFrame:
+                dealt = rows.join(F.broadcast(large) if n_hot <= BROADCAST_KEYS else large, "key", "left").select("*", F.posexplode(values).alias("piece", "value"))
+                return dealt.withColumn("key", F.xxhash64("key", "piece", "value")).drop("value", "large")
+
+            crowd, others = split(crowd), split(others)
+            once += " AND " + " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
+        crowd = compared(crowd, others, once)
+        more = crowd if sketches else more.unionByName(crowd)
     more = materialize(more.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
     return links if more.isEmpty() else links.unionByName(materialize(verify(more), "links"))
 

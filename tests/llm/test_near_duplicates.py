@@ -142,3 +142,40 @@ def test_sketches_count_under_small_hot_keys_too(spark, monkeypatch):
     asked = []
     got = simhash.near_links(nodes, verify=lambda pairs: asked.append(pairs.count()) or pairs.limit(0), sketches=lambda some: sketches.join(some, "node"))
     assert got.count() == 0 and sum(asked) < 5 * len(sets)
+
+
+def test_a_crowd_of_like_texts_is_not_linked_pair_by_pair(spark, monkeypatch):
+    """A third of all pairs are alike, so one text to compare with leaves most apart; a pair meets under many keys."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    bits = np.frombuffer(simhash.sketch(np.arange(300)), "<i8").tolist()
+    n = 150
+    rows = [(k, 0) for k in range(n)]
+    alike = lambda u, v: (u * v * (u + v) + 7 * u * v + u + v) % 101 % 3 == 0
+    near = [(u, v) for v, y in rows for u, x in rows if u < v and ((x ^ y) & (2**64 - 1)).bit_count() <= simhash.WORD_DISTANCE and alike(u, v)]
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where("(u * v * (u + v) + 7 * u * v + u + v) % 101 % 3 = 0")
+
+    nodes = spark.createDataFrame(rows, "node long, fp long").localCheckpoint()
+    got = {tuple(r) for r in simhash.near_links(nodes, simhash.WORD_DISTANCE, verify, lambda some: some.select("node", F.lit(300).cast("long").alias("n"), F.array(*map(F.lit, bits)).alias("sketch"))).collect()}
+    kept = lambda pairs: _first_ids([(k, None) for k in range(n)], pairs)
+    assert got <= set(near) and kept(got) == kept(near)
+    assert len(got) < 0.5 * len(near) and sum(asked) < 0.5 * n * (n - 1) / 2
+
+
+def test_pairs_meet_half_way(spark):
+    """Every pair within a partition's threshold meets there, under one key or two, not under all that both probe."""
+    parts = [(list(range(0, 22)), 2), (list(range(22, 44)), 3), (list(range(44, 64)), 1)]
+    rng = random.Random(4)
+    base = rng.getrandbits(63)
+    rows = [(k, base ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(7)))) for k in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, fp long")
+    keyed = nodes.select("node", "fp", F.explode(simhash._probes(parts)).alias("x")).select("node", "fp", "x.*")
+    a, b = (keyed.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "flips", "part"))) for s in "ab")
+    both = a.join(b, "key").where("a_node < b_node")
+    made = {(r[0], r[1]): r[2] for r in both.where(simhash._half_way(parts)).where(simhash._first_part(parts)).groupBy("a_node", "b_node").count().collect()}
+    masks = [(sum(1 << i for i in bits), t) for bits, t in parts]
+    assert set(made) == {(u, v) for u, x in rows for v, y in rows if u < v and any(((x ^ y) & m).bit_count() <= t for m, t in masks)}
+    assert max(made.values()) <= 3 and sum(made.values()) < 0.2 * both.count()
