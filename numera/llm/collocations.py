@@ -5,8 +5,8 @@ l = f(first word) and r >= a, so no phrase that starts with a word of count f sc
 what can still grow. The frontier holds each language's first words by that bound. Each wave expands the best part of it,
 length by length, and a language is settled once its 2000th surviving score lies above the bound of all that is left.
 
-Texts are split into words once and written as chunks: the distinct words of a chunk, and codes into them. A pass over the
-chunks counts phrases of one length in each task, and only counts are shuffled. Which phrases a pass looks for is told by
+Texts are split into words once and written as chunks: the distinct words of a chunk, and codes into them. Once the frequent
+words are known, the chunks are written again without the others, which no candidate holds. A pass over these counts phrases of one length in each task, and only counts are shuffled. Which phrases a pass looks for is told by
 bitmaps of their hashes, whose size is bounded; a bitmap lets some others through, which a join with the exact phrases
 removes. So a bitmap that is too full costs time and never a result.
 """
@@ -204,18 +204,51 @@ def _unigrams(it):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([x.decode("utf-8", "surrogatepass") for x in words[1:]], pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
 
+def _usable(shared):
+    """Chunks as before, of frequent words alone: one 0 stands for all others in a row and for the ends of pieces."""
+
+    def batches(it):
+        import numpy as np
+        import pyarrow as pa
+
+        frequent = shared.value[0]
+        for lang, words, w in _tasks(it):
+            usable = frequent.has(_hash(words, lang))
+            usable[0] = False
+            w = np.where(usable[w], w, 0)
+            w = w[(w != 0) | (np.concatenate([[1], w[:-1]]) != 0)]
+            ends, at = np.flatnonzero(w == 0), 0
+            while at < len(w) - 1:
+                to = ends[min(np.searchsorted(ends, at + CHUNK), len(ends) - 1)]
+                used, codes = np.unique(w[at : to + 1], return_inverse=True)
+                own = b" ".join([words[k] for k in used[1:].tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["lang", "words", "codes"])
+                at = to
+
+    return batches
+
+
 def _ids(w, pos, m: int, size: int):
     """Ids of the m words from each of the positions on: equal where the words are, without hashing."""
     import numpy as np
 
-    ids = w[pos].astype(np.int64)
+    ids, top = w[pos].astype(np.int64), size
     for j in range(1, m):
-        ids = ids * size + w[pos + j]
-        if j < m - 1 or m > 2:
-            ids = np.unique(ids, return_inverse=True)[1]
+        if top * size >= 1 << 63:
+            ids, top = np.unique(ids, return_inverse=True)[1], len(pos)
+        ids, top = ids * size + w[pos + j], top * size
     return ids
 
 
+def _alike(ids):
+    """The places of ids, equal ones together, and where each id begins among them."""
+    import numpy as np
+
+    order = np.argsort(ids)
+    ordered = ids[order]
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ids)])
+
+
 def _phrases(vocabulary, w, at, m: int):
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -231,17 +264,15 @@ def _grown(m: int, shared):
         import numpy as np
         import pyarrow as pa
 
-        frequent, known, wave, later = shared.value
+        known, wave, later = shared.value
         for lang, words, w in _tasks(it):
             word_hash = _hash(words, lang)
-            usable = frequent.has(word_hash)
-            usable[0] = False
-            w = np.where(usable[w], w, 0)
             last = len(w) - m + 1
             if last <= 0:
                 continue
             # positions whose words are all frequent, and whose first word is in this wave of the frontier
-            starts = usable & wave.has(word_hash)
+            starts = wave.has(word_hash)
+            starts[0] = False
             pos = np.flatnonzero(starts[w[:last]])
             for j in range(1, m):
                 pos = pos[w[pos + j] != 0]
@@ -254,9 +285,10 @@ def _grown(m: int, shared):
                 for j in range(2, m):
                     h = _roll(h, word_hash[w[pos + j]])
                 pos = pos[known.has(h) | later.has(word_hash[w[pos + 1]])]
-            _, at, n = np.unique(_ids(w, pos, m, len(words)), return_index=True, return_counts=True)
-            pos = pos[at]
-            del at
+            order, first = _alike(_ids(w, pos, m, len(words)))
+            n = np.diff(first, append=len(order))
+            pos = pos[order[first]]
+            del order, first
             vocabulary = pa.array([x.decode("utf-8", "surrogatepass") for x in words], pa.large_string())
             for k in range(0, len(n), 100_000):
                 some = _phrases(vocabulary, w, pos[k : k + 100_000], m)
@@ -273,12 +305,10 @@ def _looked(shared):
         import numpy as np
         import pyarrow as pa
 
-        frequent, wanted = shared.value
+        wanted = shared.value[0]
         for lang, words, w in _tasks(it):
             word_hash = _hash(words, lang)
-            usable = frequent.has(word_hash)
-            usable[0] = False
-            w = np.concatenate([np.where(usable[w], w, 0), [0]])
+            w = np.concatenate([w, [0]])
             pos = np.flatnonzero(w[:-1])
             h = word_hash[w[pos]]
             text = pa.array(["", *(x.decode("utf-8", "surrogatepass") for x in words[1:])], pa.large_string())
@@ -290,9 +320,7 @@ def _looked(shared):
                 hit = pos[wanted.has(h)]
                 if not len(hit):
                     continue
-                ids = _ids(w, hit, m, len(words))
-                order = np.argsort(ids, kind="stable")
-                first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+                order, first = _alike(_ids(w, hit, m, len(words)))
                 n = np.diff(first, append=len(order))
                 found = []
                 for beside in (w[hit - 1], w[hit + m]):
@@ -331,7 +359,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     none = "lang string, rank int, phrase string, a long, l long, r long, n long, score long"
     if most is None:
         return spark.createDataFrame([], none)
-    common = bitmap(frequent, frequent_n := frequent.count())
+    shared = _shared(spark, bitmap(frequent, frequent_n := frequent.count()))
+    chunks = materialize(chunks.mapInArrow(_usable(shared), "lang string, words binary, codes binary"), "usable")
+    shared.unpersist()
     n_known = frequent_n
     done = spark.createDataFrame([], _PHRASE + ", a long, l long, r long, total long, score long")
     counted = frequent  # all phrases of known count, 1 word and more
@@ -346,7 +376,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         prefixes, grown = wave, []
         for m in range(2, LONGEST + 1):
             known = bitmap(counted.where(F.size(F.split("phrase", " ")) == m - 1), n_known) if m > 2 else None
-            shared = _shared(spark, common, known, *maps)
+            shared = _shared(spark, known, *maps)
             counts = chunks.mapInArrow(_grown(m, shared), _PHRASE + ", n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             # what a bitmap let through beyond the frontier's own
             starts = F.substring_index("phrase", " ", m - 1) if m > 2 else F.substring_index("phrase", " ", 1)
@@ -359,7 +389,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             grown.append(prefixes)
             counted = counted.unionByName(prefixes)
         if grown:
-            found = _scored(spark, chunks, reduce(DataFrame.unionByName, grown), counted, totals, common)
+            found = _scored(spark, chunks, reduce(DataFrame.unionByName, grown), counted, totals)
             done = materialize(done.unionByName(found), "scored")
         # settled: as many survivors as are asked for lie above the bound of all that is left
         left = frequent.where(F.col("n") >= high).join(active, "lang").groupBy("lang", "total").agg(F.min("n").alias("next"))
@@ -374,12 +404,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
-def _scored(spark: SparkSession, chunks: DataFrame, found: DataFrame, counted: DataFrame, totals: DataFrame, common: Bitmap) -> DataFrame:
+def _scored(spark: SparkSession, chunks: DataFrame, found: DataFrame, counted: DataFrame, totals: DataFrame) -> DataFrame:
     """The survivors among new candidates, with the cut that counts. A pass over the chunks counts the rests that no wave
     has counted yet, and sees which candidates always stand beside the same word: those lie inside a longer candidate."""
     rests = _cuts(found).select("lang", F.col("rest").alias("phrase")).where(F.instr("phrase", " ") > 0).distinct().join(counted, ["lang", "phrase"], "left_anti")
     wanted = materialize(found.select("lang", "phrase").unionByName(rests).distinct(), "wanted")
-    shared = _shared(spark, common, bitmap(wanted, wanted.count()))
+    shared = _shared(spark, bitmap(wanted, wanted.count()))
     steady = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise("") != ""
     looked = chunks.mapInArrow(_looked(shared), _PHRASE + ", n long, before string, after string").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), (steady("before") | steady("after")).alias("inside"))
     looked = materialize(looked.join(wanted, ["lang", "phrase"], "left_semi"), "looked")

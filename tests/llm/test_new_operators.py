@@ -151,3 +151,20 @@ def test_discriminant_is_the_difference_of_two_normal_densities():
         d = z - mean
         far.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
     assert np.allclose(m.difference(whole[1][:5]), far[1] - far[0])
+
+
+def test_passes_over_the_chunks_see_frequent_words_alone(spark, monkeypatch):
+    """Words that are not frequent are dropped once, not hashed and looked up again in each pass."""
+    seen, plain = {}, collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, label: seen.setdefault(label, plain(df, label)))
+    monkeypatch.setattr(collocations, "CHUNK", 60)
+    docs = spark.createDataFrame([(i, f"red apple rare{i}a rare{i}b green pear. red apple green", "en") for i in range(40)], "doc_id long, text string, lang string")
+    collocations.collocations(docs, least=20)
+    rows = seen["usable"].collect()
+    texts = []
+    for r in rows:
+        words, codes = [".", *bytes(r["words"]).decode().split(" ")], np.frombuffer(bytes(r["codes"]), "<i4")
+        assert codes[0] == codes[-1] == 0 and len(codes) < 70
+        texts.append(" ".join(words[k] for k in codes))
+    assert len(rows) > 2 and {w for t in texts for w in t.split()} == {".", "red", "apple", "green", "pear"}
+    assert sum(t.count("red apple . green pear .") for t in texts) == 40 and sum(t.count(". red apple green .") for t in texts) == 40
