@@ -64,6 +64,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table beyond which Spark is not left to choose a broadcast.
+GUESSED_ROWS = 100_000
+
+
+def not_guessed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a written table, to be joined: with more rows than GUESSED_ROWS it is not broadcast unless asked for. Spark would size
+    it by its files, which are compressed, and in memory the driver can hold many times as much. rows: its number, if known."""
+    return df if (df.count() if rows is None else rows) <= GUESSED_ROWS else df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table. Texts can be long, so Python workers get fewer rows at a time than they do by default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -80,6 +90,7 @@ def spread_join(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFr
 
     Keys of many rows are broadcast, so that none of them lands in one task. There is at most one of them in HEAVY rows.
     """
+    counted = not_guessed(counted)
     heavy = counted.where(F.col(n) > HEAVY).drop(n)
     many = heavy.count()
     if not many:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, not_guessed
 
 
 def _state(edges: DataFrame):
@@ -24,10 +24,10 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     while (now := _state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = not_guessed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), now[0])
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, label)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = not_guessed(large.groupBy("u").agg(F.min("v").alias("m")), now[0])
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialize(small, label)

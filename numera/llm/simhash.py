@@ -238,7 +238,8 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     if n_hot:
         few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
         cold = keyed.join(few, "key", "left_anti")
-    pairs = as_(cold, "a").join(as_(cold, "b"), "key").where("a_node < b_node").where(f"bit_count(a_fp ^ b_fp) <= {distance}").where(once)
+    # Spark sizes probes as if each node made one, so it would broadcast all of them where the nodes alone are small
+    pairs = as_(cold, "a").hint("merge").join(as_(cold, "b"), "key").where("a_node < b_node").where(f"bit_count(a_fp ^ b_fp) <= {distance}").where(once)
     links = materialize(verify(materialize(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct(), "pairs")), "links")
     if not n_hot:
         return links

@@ -179,3 +179,12 @@ def test_pairs_meet_half_way(spark):
     masks = [(sum(1 << i for i in bits), t) for bits, t in parts]
     assert set(made) == {(u, v) for u, x in rows for v, y in rows if u < v and any(((x ^ y) & m).bit_count() <= t for m, t in masks)}
     assert max(made.values()) <= 3 and sum(made.values()) < 0.2 * both.count()
+
+
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """A small table of nodes makes many probes, which Spark sizes as if there were one a node."""
+    plans, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and write(df, label))
+    nodes = write(spark.range(300).selectExpr("id AS node", "xxhash64(id) AS fp"), "nodes")
+    simhash.near_links(nodes)
+    assert "SortMergeJoin" in plans["pairs"] and "BroadcastExchange" not in plans["pairs"]
