@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, table
+from .common import materialize, not_guessed, spread_join, table
 from .components import components
 from .tokenize import release
 
@@ -246,7 +246,8 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
 
     met = materialize(keyed.join(few, "key", "left_semi"), "met")
     if sketches:
-        met = materialize(met.join(materialize(sketches(met.select("node").distinct()), "sketches"), "node"), "met")
+        drawn = materialize(sketches(met.select("node").distinct()), "sketches")
+        met = materialize(not_guessed(met).join(not_guessed(drawn), "node"), "met")
     # those that are nearest to the majority of a key's bits: where copies were each changed on their own, the original
     ones = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"_{i}") for i in range(BITS)]
     middle = met.groupBy("key").agg(F.count("*").alias("_n"), *ones)
@@ -266,9 +267,10 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
     main = met.groupBy("key", "root").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("root", F.struct("_n", "root")).alias("main"), F.sum("_n").alias("all"), F.max("_n").alias("most"))
     main = materialize(main.where("all > most").select("key", "main", ((F.col("all") - F.col("most")) * F.col("all")).alias("work")), "main")
     apart = met.join(F.broadcast(main) if n_hot <= BROADCAST_KEYS else main, "key").where("root <> main")
+    n_met = met.count()
 
     def compared(some: DataFrame, others: DataFrame, once: str) -> DataFrame:
-        both = as_(some, "a").join(as_(others, "b"), "key").where("a_root <> b_root AND (b_root = a_main OR a_node < b_node)")
+        both = as_(some, "a").join(not_guessed(as_(others, "b"), n_met), "key").where("a_root <> b_root AND (b_root = a_main OR a_node < b_node)")
         return both.where(close).where(once).select(*_pair("a_node", "b_node"))
 
     plain = 0 if sketches else PLAIN
@@ -288,7 +290,7 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, verify: Callable[[Dat
             once += " AND " + " AND ".join(f"(a_piece <= {p} OR ((a_fp ^ b_fp) & {m}L) <> 0)" for p, m in enumerate(piece))
         crowd = compared(crowd, others, once)
         more = crowd if sketches else more.unionByName(crowd)
-    more = materialize(more.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    more = materialize(more.distinct().join(not_guessed(first), ["u", "v"], "left_anti"), "pairs")
     return links if more.isEmpty() else links.unionByName(materialize(verify(more), "links"))
 
 
@@ -396,19 +398,19 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted.join(nodes, "node").select("node", "first._r1", "first._r2"), "wanted")
-        if wanted.count() <= BROADCAST_KEYS:
-            wanted = F.broadcast(wanted)
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted.hint("merge")
         some = texts.join(wanted, ["_r1", "_r2"]).select("node", "_text")
         sets = some.mapInArrow(_sets, "node long, hashes array<long>, n long, sketch array<long>").groupBy("node")
         return sets.agg(*(F.any_value(c).alias(c) for c in ("hashes", "n", "sketch")))  # equal rows are one
 
     def similar(pairs: DataFrame) -> DataFrame:
         sets = materialize(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "sets")
-        small = F.broadcast if sets.count() <= BROADCAST_SKETCHES else lambda df: df
+        small = F.broadcast if sets.count() <= BROADCAST_SKETCHES else lambda df: df.hint("merge")
         for side in ("u", "v"):
             pairs = pairs.join(small(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))), side)
         pairs = materialize(pairs.where(may_be_similar("u", "v")).select("u", "v"), "likely")
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+        whole = sets.select("node", "hashes").hint("merge")  # few rows can be much, and copies' sets are small in files
+        both = pairs.join(whole.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
         return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("u", "v")
 
     roots = components(near_links(nodes.select("node", "fp"), distance, similar, lambda some: sets_of(some).select("node", "n", "sketch")))

@@ -188,3 +188,19 @@ def test_probes_are_not_broadcast(spark, monkeypatch):
     nodes = write(spark.range(300).selectExpr("id AS node", "xxhash64(id) AS fp"), "nodes")
     simhash.near_links(nodes)
     assert "SortMergeJoin" in plans["pairs"] and "BroadcastExchange" not in plans["pairs"]
+
+
+def test_written_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """Under hot keys, in components and where sets meet pairs: a table's files are small against its rows in memory."""
+    from numera.llm import common
+
+    nodes = simhash.materialize(spark.range(40).selectExpr("id AS node", "shiftleft(1L, int(id)) AS fp"), "nodes")
+    sketches = spark.range(40).selectExpr("id AS node", "300L AS n", f"array_repeat(0L, {simhash.SKETCH // 64}) AS sketch")
+    plans, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    monkeypatch.setattr(common, "GUESSED_ROWS", 0)
+    got = simhash.near_links(nodes, verify=lambda pairs: pairs.where("v % 10 = u % 10"), sketches=lambda some: sketches.join(some, "node"))
+    assert [plan.count("SortMergeJoin") for label, plan in plans if label == "met"] == [0, 1, 0]
+    assert [plan.count("SortMergeJoin") for label, plan in plans if label == "pairs"][-1] == 2
+    assert _first_ids([(k, None) for k in range(40)], [tuple(r) for r in got.collect()]) == [str(k) for k in range(10)]
