@@ -1,13 +1,14 @@
 """Iterative solvers for sparse matrices i, j, v (repeated entries add up, absent ones are 0) with vectors as tables.
 
 The matrix is dealt by column once and stays where it is; each round moves a vector to it, adds up products by row, and
-takes all its inner products in one aggregate; where unknowns hang together by few entries only, CG solves these whole in
-tasks. Only numbers, and for GMRES a system of at most restart + 1 unknowns, come to
+takes all its inner products in one aggregate; where unknowns hang together by few entries only, CG and gmres_by_parts() solve
+these whole in tasks. Only numbers, and for GMRES a system of at most restart + 1 unknowns, come to
 the driver. Vectors are written each round. Null indices or values are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,9 @@ def _unknowns(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(F.col("i").alias("k")).unionByName(a.select(F.col("j").alias("k"))).distinct().join(_vector(b), "k", "full").fillna(0.0, ["b"])
 
 
-def _cg_tasks(max_iter: int, tol: float):
-    """Rows are i, j, v of the matrix and i, null, b of the right-hand side. x, and once the residual's square and the rounds."""
+def _tasks(solve: Callable):
+    """Rows are i, j, v of the matrix and i, null, b of the right-hand side. x, and once the residual's square and the rounds,
+    as solve gives them for A (as a function of a vector) and b."""
 
     def batches(it):
         import numpy as np
@@ -67,9 +69,21 @@ def _cg_tasks(max_iter: int, tol: float):
         j = t.column(1).fill_null(0).to_numpy()[entry]
         ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
         n, row, col, v, b = len(ids), at[: len(i)][entry], at[len(i) :], v[entry], np.bincount(at[: len(i)][right], v[right], len(ids))
-        x, r, p, rr, rounds = np.zeros(n), b.copy(), b.copy(), float(b @ b), 0
+        x, rr, rounds = solve(lambda p: np.bincount(row, v * p[col], n), b)
+        once = np.zeros(n)
+        once[0] = rr
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x), pa.array(once), pa.array(np.full(n, rounds), pa.int64())], ["j", "x", "rr", "rounds"])
+
+    return batches
+
+
+def _cg(max_iter: int, tol: float):
+    def solve(a, b):
+        import numpy as np
+
+        x, r, p, rr, rounds = np.zeros(len(b)), b.copy(), b.copy(), float(b @ b), 0
         while rr**0.5 >= tol and rounds < max_iter:
-            q = np.bincount(row, v * p[col], n)
+            q = a(p)
             if (pq := float(p @ q)) <= 0:
                 break
             x += rr / pq * p
@@ -77,37 +91,70 @@ def _cg_tasks(max_iter: int, tol: float):
             after = float(r @ r)
             p = r + after / rr * p
             rr, rounds = after, rounds + 1
-        once = np.zeros(n)
-        once[0] = rr
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x), pa.array(once), pa.array(np.full(n, rounds), pa.int64())], ["j", "x", "rr", "rounds"])
+        return x, rr, rounds
 
-    return batches
+    return solve
 
 
-def cg(a: DataFrame, b: DataFrame, max_iter: int = 1000, tol: float = 1e-10) -> Solution:
-    """Conjugate gradients for a symmetric positive definite matrix; b: i, v. Ends when the residual's norm is below tol, or
-    when a direction has no positive curvature, which such a matrix does not have.
+def _gmres(restart: int, max_iter: int, tol: float):
+    def solve(a, b):
+        import numpy as np
 
-    Unknowns that hang together by few entries are solved in a task that holds them whole, where such a direction ends only
-    that task; larger systems by cg_by_rounds(), as are all whose indices are not numbers. rounds is the most of any."""
+        x, rounds, last = np.zeros(len(b)), 0, float("inf")
+        vs, h = np.empty((restart + 1, len(b))), np.zeros((restart + 1, restart))
+        while True:
+            r = b - a(x)
+            norm = float(r @ r) ** 0.5
+            if norm < tol or rounds >= max_iter or norm >= last * (1 - 1e-12):
+                return x, norm**2, rounds
+            last, vs[0] = norm, r / norm
+            for m in range(min(restart, max_iter - rounds)):
+                w, base = a(vs[m]), vs[: m + 1]
+                first = base @ w
+                w -= first @ base
+                again = base @ w
+                w -= again @ base
+                h[: m + 1, m], h[m + 1, m] = first + again, float(w @ w) ** 0.5
+                rounds += 1
+                y, rest = _least(h[: m + 2, : m + 1], norm)
+                if rest < tol or h[m + 1, m] <= 1e-14 * norm:
+                    break
+                vs[m + 1] = w / h[m + 1, m]
+            x += y @ vs[: len(y)]
+
+    return solve
+
+
+def _by_parts(a: DataFrame, b: DataFrame, solve: Callable, by_rounds: Callable, tol: float) -> Solution:
+    """Unknowns that hang together by few entries are solved in a task that holds them whole, by solve(tol) of that task; larger
+    systems by by_rounds(a, b, tol), as are all whose indices are not numbers. rounds is the most of any."""
     kinds = dict(a.dtypes)
     if {kinds["i"], kinds["j"], dict(b.dtypes)["i"]} != {"bigint"}:
-        return cg_by_rounds(a, b, max_iter, tol)
+        return by_rounds(a, b, tol)
     entries = a.where("i IS NOT NULL AND j IS NOT NULL AND v IS NOT NULL").select("i", "j", F.col("v").cast("double").alias("v"))
     small, large, tasks = by_size(parted(entries))
     places = small.select(F.col("i").alias("k"), "_part").unionByName(small.select(F.col("j").alias("k"), "_part")).distinct()
     rhs = written(_vector(b).join(places, "k", "left").select("_part", F.col("k").alias("i"), F.lit(None).cast("long").alias("j"), F.col("b").alias("v")))
     dealt = small.select("_part", "i", "j", "v").unionByName(rhs.where("_part IS NOT NULL")).repartition(tasks, "_part").select("i", "j", "v")
-    solved = written(dealt.mapInArrow(_cg_tasks(max_iter, tol * (0.5 / tasks) ** 0.5), "j long, x double, rr double, rounds long"))
+    solved = written(dealt.mapInArrow(_tasks(solve(tol * (0.5 / tasks) ** 0.5)), "j long, x double, rr double, rounds long"))
     square, rounds = solved.agg(F.sum("rr"), F.max("rounds")).first()
     x, square, rounds = solved.select("j", "x"), square or 0.0, rounds or 0
     apart = rhs.where("_part IS NULL").select("i", "v")
     if not (large.isEmpty() and apart.isEmpty()):
-        rest = cg_by_rounds(large, apart, max_iter, tol * 0.5**0.5)
+        rest = by_rounds(large, apart, tol * 0.5**0.5)
         x, square, rounds = x.unionByName(rest.x), square + rest.residual**2, max(rounds, rest.rounds)
     return Solution(x, rounds, square**0.5)
 
 
+def cg(a: DataFrame, b: DataFrame, max_iter: int = 1000, tol: float = 1e-10) -> Solution:
+    """Conjugate gradients for a symmetric positive definite matrix; b: i, v. Ends when the residual's norm is below tol, or
+    when a direction has no positive curvature, which such a matrix does not have.
+
+    Unknowns that hang together by few entries are solved in a task that holds them whole, where such a direction ends only
+    that task; larger systems by cg_by_rounds(), as are all whose indices are not numbers. rounds is the most of any."""
+    return _by_parts(a, b, lambda tol: _cg(max_iter, tol), lambda a, b, tol: cg_by_rounds(a, b, max_iter, tol), tol)
+
+
 def cg_by_rounds(a: DataFrame, b: DataFrame, max_iter: int = 1000, tol: float = 1e-10) -> Solution:
     """As cg, for systems of any size, with the vectors as tables."""
     a = _dealt(a, "j")
@@ -175,6 +222,12 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, max_iter: int = 1000, t
         old = basis
 
 
+def gmres_by_parts(a: DataFrame, b: DataFrame, restart: int = 20, max_iter: int = 1000, tol: float = 1e-10) -> Solution:
+    """As gmres, but unknowns that hang together by few entries are solved in a task that holds them whole; larger systems by
+    gmres(), as are all whose indices are not numbers. rounds is the most of any."""
+    return _by_parts(a, b, lambda tol: _gmres(restart, max_iter, tol), lambda a, b, tol: gmres(a, b, restart, max_iter, tol), tol)
+
+
 def _least(h, norm: float):
     import numpy as np
 

@@ -20,13 +20,16 @@ def _orders(spark, d):
     return link, i, j, b, o
 
 
+def _entries(o, *entries):
+    """Entries i, j, v of each order's row of o; all of them are made where it lies, so that those of a customer stay together."""
+    made = F.explode(F.array(*(F.struct(x.alias("i"), y.alias("j"), v.alias("v")) for x, y, v in entries)))
+    return o.select(made.alias("a")).select("a.*").where("v IS NOT NULL")
+
+
 def _spd(spark, d):
     link, i, j, b, o = _orders(spark, d)
     own, next_, s = F.col("o_orderkey"), F.col("next"), F.col("s")
-    # all entries of a row are made where it lies, so that those of a customer stay together
-    entries = [(own, own, F.lit(1.0)), *((x, y, F.when(next_.isNotNull(), sign * s)) for x, y, sign in ((own, next_, -1), (next_, own, -1), (own, own, 1), (next_, next_, 1)))]
-    made = F.explode(F.array(*(F.struct(x.alias("i"), y.alias("j"), v.alias("v")) for x, y, v in entries)))
-    return o.select(made.alias("a")).select("a.*").where("v IS NOT NULL"), b
+    return _entries(o, (own, own, F.lit(1.0)), *((x, y, F.when(next_.isNotNull(), sign * s)) for x, y, sign in ((own, next_, -1), (next_, own, -1), (own, own, 1), (next_, next_, 1)))), b
 
 
 @query("i", "b", "SELECT o_orderkey AS i, o_totalprice / 1000 AS b FROM orders", 5)
@@ -40,8 +43,9 @@ def linalg_cg(spark, d):
 def linalg_gmres(spark, d):
     """As linalg_cg, for a matrix that is not symmetric: an order feels the next one only."""
     link, i, j, b, o = _orders(spark, d)
-    a = o.select(F.col("o_orderkey").alias("i"), F.col("o_orderkey").alias("j"), F.lit(2.0).alias("v")).unionByName(link.select(i, j, (F.col("s") / -4).alias("v")))
-    return linalg.matvec(a, krylov.gmres(a, b, tol=1e-8).x).select("i", F.col("v").alias("b"))
+    own, next_ = F.col("o_orderkey"), F.col("next")
+    a = _entries(o, (own, own, F.lit(2.0)), (own, next_, F.when(next_.isNotNull(), F.col("s") / -4)))
+    return linalg.matvec(a, krylov.gmres_by_parts(a, b, tol=1e-8).x).select("i", F.col("v").alias("b"))
 
 
 @query("j", "g", f"WITH a AS ({MATRIX_SQL}) SELECT j, sum(v * label) AS g FROM a JOIN embeddings ON vec_id = i GROUP BY j", 4)

@@ -92,3 +92,40 @@ def test_cg_of_small_parts_takes_no_rounds(spark, monkeypatch):
     a = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m) if v], "i long, j long, v double")
     got = krylov.cg(a, spark.createDataFrame([(i, 1.0) for i in range(30)], "i long, v double"))
     assert np.allclose([r["x"] for r in got.x.orderBy("j").collect()], np.linalg.solve(m, np.ones(30)))
+
+
+@pytest.mark.parametrize("whole", [40, 1 << 17])
+def test_gmres_of_small_and_large_parts(spark, monkeypatch, whole):
+    monkeypatch.setattr(parts, "WHOLE", whole)
+    rng = np.random.default_rng(7)
+    m = np.diag(rng.uniform(2, 3, 60))
+    for k in range(59):  # chains of 10, one way, and a crowd
+        m[k, k + 1] = rng.uniform(-1, 1) if k % 10 != 9 and k < 50 else 0
+    m[50:, 50:] += rng.normal(size=(10, 10)) / 4
+    b = np.where(np.arange(60) % 7, rng.normal(size=60), 0)
+    a = [(i, j, float(v) / 2) for (i, j), v in np.ndenumerate(m) if v for _ in range(2)] + [(None, 1, 5.0), (1, None, 5.0), (1, 2, None)]
+    rhs = [(i, float(v)) for i, v in enumerate(b) if v] + [(None, 1.0), (3, None)]
+    got = krylov.gmres_by_parts(spark.createDataFrame(a, "i long, j long, v double").repartition(5), spark.createDataFrame(rhs, "i long, v double"), restart=6)
+    x = {r["j"]: r["x"] for r in got.x.collect()}
+    assert got.x.count() == len(x) == 60 and got.residual < 1e-10
+    assert np.allclose([x[k] for k in range(60)], np.linalg.solve(m, b))
+
+
+def test_linalg_gmres_takes_no_rounds(spark, monkeypatch, tmp_path):
+    def fail(*_):
+        raise AssertionError("rounds for small parts")
+
+    from numera.plans import queries
+
+    monkeypatch.setattr(krylov, "gmres", fail)
+    orders = spark.range(60).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "date_add(DATE'1995-01-01', int(id)) AS o_orderdate", "concat(1 + id % 5, '-X') AS o_orderpriority", "1000.25D * id AS o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["i"]: r["b"] for r in queries.queries()["linalg_gmres"](spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(60)) and all(abs(got[k] - 1.00025 * k) < 1e-8 for k in got)
+
+
+def test_gmres_in_a_task_ends_where_the_residual_does_not_fall():
+    m = np.array([[0.0, 0.0], [0.0, 2.0]])
+    x, square, rounds = krylov._gmres(5, 1000, 1e-12)(lambda p: m @ p, np.array([3.0, 4.0]))
+    assert abs(square - 9) < 1e-9 and rounds < 10 and np.allclose(m @ x, [0, 4])
+    assert krylov._gmres(5, 1000, 1e-12)(lambda p: m @ p, np.zeros(2))[1:] == (0.0, 0)
